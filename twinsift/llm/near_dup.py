@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     chosen = groups_of.join(sizes, "label").join(classes.select("node", "rep", "hi", "lo"), "node")
     chosen = written(chosen.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "near-chosen")
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    met = texts.join(chosen, F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "label", "blocks", "block", "hi", "lo")
+    # candidates grow with the documents, so they are never broadcast, however few they are
+    met = texts.join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "label", "blocks", "block", "hi", "lo")
 
     def sets(batches):
         import pyarrow as pa
