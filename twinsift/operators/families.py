@@ -45,7 +45,7 @@ def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:
     sums = edges.select(F.col("k1").alias("node"), "sim").union(edges.select("k2", "sim")).groupBy("node").agg(F.sum("sim").alias("s"))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     scored = members.join(sums, "node", "left").join(sizes, "component").withColumn("mean", (F.coalesce("s", F.lit(0.0)) + 1.0) / F.col("n"))
-    first = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.round("mean", 9)), "node")  # sums of doubles depend on their order)
+    first = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.round("mean", 9)), "node"))  # sums of doubles depend on their order
     return scored.withColumn("r", first).where("r = 1").select("component", F.col("node").alias("medoid"), F.col("mean").alias("coherence"))
 
 
