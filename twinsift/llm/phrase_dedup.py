@@ -5,7 +5,7 @@
    are hashed (96 bits) and counted. A window's first document is then known exactly.
 2. Neighbouring windows that start in an earlier document merge into passages. Documents are dealt into shards
    of bounded size; the passages of a shard are compiled into an Aho-Corasick automaton.
-3. Every document is streamed through its shard's automaton. A passage covers the words of each occurrence in
+3. Every document with a passage of its own is streamed through its shard's automaton. A passage covers the words of each occurrence in
    a document whose key is larger than the first document of every window of the passage.
 
 Null texts have no words; texts shorter than a window lose nothing; rows that repeat a key count as one
@@ -57,39 +57,76 @@ def cut_passages(starts: list[int], firsts: list[int], window: int) -> list[tupl
     return [tuple(x) for x in out]
 
 
+def _laid_out(column, hashes: WordHash, window: int):
+    """Word hashes of all texts of a batch in a row; the text that each whole window lies in, -1 if it spans two; where each text starts."""
+    texts = [hashes.of(_words(raw)) for raw in bytes_of(column)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    n = max(0, len(words) - window + 1)
+    inside = np.where(owner[:n] == owner[len(words) - n :], owner[:n], -1)
+    return words, inside, np.cumsum(sizes) - sizes
+
+
 def _minimizers(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHash()
         for batch in batches:
-            found = [np.unique(window_minimizers(hashes.of(_words(raw)), window)).view(np.int64) for raw in bytes_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["id", "version", "hs"])
+            words, inside, _ = _laid_out(batch.column(1), hashes, window)
+            h = window_minimizers(words, window)
+            new = np.flatnonzero(inside >= 0)
+            if len(new):
+                keep = np.r_[True, (h[new[1:]] != h[new[:-1]]) | (inside[new[1:]] != inside[new[:-1]])]
+                new = new[keep]
+            at = pa.array(inside[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(h[new].view(np.int64))], names=["id", "version", "h"])
 
-    return docs.mapInArrow(run, "id bigint, version bigint, hs array<bigint>")
+    return docs.mapInArrow(run, "id bigint, version bigint, h bigint")
 
 
 def _candidates(met: DataFrame, window: int) -> DataFrame:
-    """met: id, text, version, hs (minimizers that recur)."""
+    """met: id, text, version, marks (minimizers that recur, and whether an earlier document has them)."""
 
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHash()
         for batch in batches:
-            starts, a, b = [], [], []
-            for raw, hs in zip(bytes_of(batch.column(1)), batch.column(3), strict=True):
-                words = hashes.of(_words(raw))
-                at = np.flatnonzero(np.isin(window_minimizers(words, window), np.array(hs.values, np.int64).view(np.uint64)))
-                starts.append(at.astype(np.int32))
-                a.append(grams(words, window, 1)[at].view(np.int64))
-                b.append((grams(words, window, 2)[at] >> np.uint64(33)).astype(np.int32))
+            words, inside, starts = _laid_out(batch.column(1), hashes, window)
+            h = window_minimizers(words, window)
+            marks = batch.column(3)
+            bounds = marks.offsets.to_numpy()
+            bounds = bounds - bounds[0]
+            flat = marks.flatten()
+            names, late = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
+            edge = np.searchsorted(np.maximum.accumulate(inside), np.arange(len(starts) + 1)) if len(inside) else np.zeros(len(starts) + 1, np.int64)
+            found, is_late = [], []
+            for k in range(len(starts)):
+                a, b = edge[k : k + 2]
+                own, own_late = names[bounds[k] : bounds[k + 1]], late[bounds[k] : bounds[k + 1]]
+                order = np.argsort(own)
+                own, own_late = own[order], own_late[order]
+                spot = np.minimum(np.searchsorted(own, h[a:b]), len(own) - 1)
+                hit = np.flatnonzero((own[spot] == h[a:b]) & (inside[a:b] == k))
+                found.append(hit + a)
+                is_late.append(own_late[spot[hit]])
+            at = np.concatenate(found) if found else np.zeros(0, np.int64)
+            owner = inside[at] if len(at) else at
+            whose = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(x, pa.list_(t)) for x, t in ((starts, pa.int32()), (a, pa.int64()), (b, pa.int32())))],
-                names=["id", "version", "starts", "a", "b"],
-            )
+                [
+                    batch.column(0).take(whose), batch.column(2).take(whose),
+                    pa.array((at - starts[owner]).astype(np.int32) if len(at) else at.astype(np.int32)),
+                    pa.array(grams(words, window, 1)[at].view(np.int64) if len(at) else at),
+                    pa.array((grams(words, window, 2)[at] >> np.uint64(33)).astype(np.int32) if len(at) else at.astype(np.int32)),
+                    pa.array(np.concatenate(is_late) if len(at) else at.astype(bool), pa.bool_()),
+                ],
+                names=["id", "version", "start", "a", "b", "late"],
+            )
 
-    return met.mapInArrow(run, "id bigint, version bigint, starts array<int>, a array<bigint>, b array<int>")
+    return met.mapInArrow(run, "id bigint, version bigint, start int, a bigint, b int, late boolean")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -99,16 +136,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     version = F.lit(0).cast("bigint") if alone else F.xxhash64(text)
     chosen = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text).cast("string").alias("text"), version.alias("version"))
     marks = written(_minimizers(chosen, window), "phrase-minimizers")
-    flat = marks.select("id", "version", F.explode("hs").alias("h"))
-    recurring = flat.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    shared = written(flat.join(recurring, "h").groupBy("id", "version").agg(F.collect_set("h").alias("hs")), "phrase-shared")
+    recurring = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
+    shared = written(marks.join(recurring, "h").groupBy("id", "version").agg(F.collect_list(F.struct("h", F.expr("id > lo").alias("late"))).alias("marks")), "phrase-shared")
     drop_written(marks)
-    candidates = written(_candidates(chosen.join(shared, ["id", "version"]).select("id", "text", "version", "hs"), window), "phrase-windows")
+    candidates = written(_candidates(chosen.join(shared.hint("merge"), ["id", "version"]).select("id", "text", "version", "marks"), window), "phrase-windows")
     drop_written(shared)
-    one = candidates.select("id", "version", F.explode(F.arrays_zip("starts", "a", "b")).alias("w")).select("id", "version", "w.starts", "w.a", "w.b")
-    firsts = one.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    later = one.join(firsts, ["a", "b"]).where("lo < id").groupBy("id", "version").agg(F.collect_set(F.struct("starts", "lo")).alias("later"))
-    later = written(later, "phrase-later")
+    firsts = candidates.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    # a window whose minimizer no earlier document has is a first one: only the others need to look it up
+    later = candidates.where("late").select("id", "version", "start", "a", "b").join(firsts, ["a", "b"]).where("lo < id")
+    later = written(later.groupBy("id", "version").agg(F.collect_list(F.struct("start", "lo")).alias("later")), "phrase-later")
     drop_written(candidates)
     id_type = docs.schema[key].dataType.simpleString()
 
@@ -123,27 +159,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             latest: dict[bytes, int] = {}
             for _, _, passages in rows:
                 latest.update(passages)
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             names = list(latest)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for k, p in enumerate(names):
                 automaton.add_word(p.decode("latin-1"), k)
             if names:
                 automaton.make_automaton()
             sizes = [p.count(b" ") - 1 for p in names]
             n_words, n_removed, shas, removed = [], [], [], []
-            for doc, words, _ in rows:
+            for doc, words, passages in rows:
                 ranges = []
-                if names and words:
+                if passages:  # a document without a confirmed passage of its own cannot hold another's
                     line = b" " + b" ".join(words) + b" "
                     hits = [(e, k) for e, k in automaton.iter(line.decode("latin-1")) if latest[names[k]] < doc]
-                    if hits:
-                        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                        last = np.searchsorted(blanks, [e for e, _ in hits]).tolist()
-                        for a, b in sorted((e - sizes[k], e) for e, (_, k) in zip(last, hits, strict=True)):
-                            if ranges and a <= ranges[-1][1]:
-                                ranges[-1][1] = max(b, ranges[-1][1])
-                            else:
-                                ranges.append([a, b])
+                    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                    last = np.searchsorted(blanks, [e for e, _ in hits]).tolist()
+                    for a, b in sorted((e - sizes[k], e) for e, (_, k) in zip(last, hits, strict=True)):
+                        if ranges and a <= ranges[-1][1]:
+                            ranges[-1][1] = max(b, ranges[-1][1])
+                        else:
+                            ranges.append([a, b])
                 kept, at = [], 0
                 for a, b in ranges:
                     kept += words[at:a]
@@ -163,8 +198,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch in batches:
             for doc, raw, found in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = _words(raw)
-                cut = cut_passages([x["starts"] for x in found or ()], [x["lo"] for x in found or ()], window)
-                passages = [(b" " + b" ".join(words[a:b]) + b" ", m) for a, b, m in cut if b <= len(words)]
+                cut = cut_passages([x["start"] for x in found or ()], [x["lo"] for x in found or ()], window)
+                passages = [(b" " + b" ".join(words[a:b]) + b" ", m) for a, b, m in cut]
                 rows.append((doc, words, passages))
                 size += sum(len(p) for p, _ in passages)
                 texts += len(raw)
@@ -174,7 +209,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         if rows:
             yield shard(rows)
 
-    met = chosen.join(later, ["id", "version"], "left").select("id", "text", "later")
+    met = chosen.join(later.hint("merge"), ["id", "version"], "left").select("id", "text", "later")
     out = met.mapInArrow(stream, f"`{key}` bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
     out = written(out.withColumn(key, F.col(key).cast(id_type)), "phrase-out")
     drop_written(later)
