@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, bytes_of, written
 
-BITS, KEPT = 18, 30_000
-ROWS_PER_CLASS = 3000
+BITS, KEPT = 18, 20_000
+ROWS_PER_CLASS = 1500
+#: N-grams below this chi-squared value (about one in 100,000 by chance) say nothing of the class.
+LEAST_CHI = 20.0
 #: Labels up to this many rows (16 bytes each) are broadcast to their texts; more are joined in a shuffle.
 BROADCAST_LABELS = 1_000_000
 
@@ -35,7 +37,7 @@ def ngram_ids(raw: bytes) -> np.ndarray:
 
 
 class RatioClassifier:
-    def __init__(self, ids: np.ndarray, ratios: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 250):
+    def __init__(self, ids: np.ndarray, ratios: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 200, l2: float = 0.05):
         """ids, ratios: the kept n-grams; rows: kept positions of each training row; weight: of each row."""
         self.kept = np.zeros(1 << BITS, bool)
         self.kept[ids] = True
@@ -43,16 +45,16 @@ class RatioClassifier:
         self.bias = 0.0
         if len(rows) and 0 < y.mean() < 1:
             sizes = np.array([len(r) for r in rows])
-            flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+            flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
             weight = weight / weight.sum()
             prior = float((weight * y).sum())
             w, bias = np.zeros(len(ids)), np.log(prior / (1 - prior))
             m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-            value = ratios[flat]
+            value = ratios.astype(np.float32)[flat]
             for t in range(1, steps + 1):
                 z = np.bincount(owner, value * w[flat], len(rows)) + bias
                 err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-                g = np.bincount(flat, value * err[owner], len(ids)) + 1e-5 * w
+                g = np.bincount(flat, value * err[owner], len(ids)) + l2 / len(rows) * w
                 gb = err.sum()
                 m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
                 mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -100,7 +102,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     expected = both * F.lit(n_pos / (n_pos + n_neg))
     chi = F.pow(F.col("pos") - expected, 2) / expected
     # at most KEPT rows of three numbers
-    best = counted.where("f >= 0 and pos + neg > 1").select("f", ratio.alias("r"), chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(KEPT).collect()
+    best = counted.where("f >= 0 and pos + neg > 2").select("f", ratio.alias("r"), chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "f").limit(KEPT).collect()
     ids = np.array(sorted(r["f"] for r in best), np.int64)
     by_id = {r["f"]: r["r"] for r in best}
     ratios = np.array([by_id[i] for i in ids.tolist()])
@@ -122,7 +124,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     train = drawn.select("text", "y").mapInArrow(rows, "x binary, y int").orderBy("y", "x").collect()
     y = np.array([float(r["y"] > 0) for r in train])
     weight = np.where(y > 0, 1 / shares[1], 1 / shares[0])
-    return RatioClassifier(ids, ratios, [np.frombuffer(r["x"], np.int32).astype(np.int64) for r in train], y, weight)
+    return RatioClassifier(ids, ratios, [np.frombuffer(r["x"], np.int32) for r in train], y, weight)
 
 
 def score_toxicity(docs: DataFrame, model: RatioClassifier, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
