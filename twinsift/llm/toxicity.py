@@ -96,7 +96,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     total = counted.where("f = -1").select("pos", "neg").first()
     n_pos, n_neg = (total["pos"], total["neg"]) if total else (0, 0)
     if not n_pos or not n_neg:
-        return RatioClassifier(np.zeros(0, np.int64), np.zeros(0), [np.zeros(0, np.int64)] * bool(n_pos + n_neg), np.array([float(n_pos > 0)] * bool(n_pos + n_neg)), np.ones(bool(n_pos + n_neg)))
+        return RatioClassifier(np.zeros(0, np.int64), np.zeros(0), [np.zeros(0, np.int64)] * bool(n_pos + n_neg), np.array([float(n_pos > 0)] * bool(n_pos + n_neg)), np.ones(int(bool(n_pos + n_neg))))
     ratio = F.log((F.col("pos") + 1) / F.lit(n_pos + 2.0)) - F.log((F.col("neg") + 1) / F.lit(n_neg + 2.0))
     both = F.col("pos") + F.col("neg")
     expected = both * F.lit(n_pos / (n_pos + n_neg))
