@@ -156,7 +156,7 @@ for _linkage in ("complete", "quasi_complete", "average", "medoid"):
 
 @query("SELECT source, count(*) AS sloc, count(DISTINCT line) AS distinct_lines FROM (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' AND NOT starts_with(line, '#') GROUP BY source")
 def dry_stats_by_source(spark, sf_dir):
-    lines = _table(spark, sf_dir, "documents").select("source", F.trim(F.explode(F.split("text", "\n"))).alias("line"))
+    lines = _table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
     kept = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("sloc"), F.count_distinct("line").alias("distinct_lines"))
 
