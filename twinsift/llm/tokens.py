@@ -1,25 +1,24 @@
 """Token ids of whole texts, by the tokenizers library, with a bounded cache of pieces.
 
-A piece ends where the tokenizer's own pre-tokenizer always ends a token: before a blank or newline that
-follows other text, or between a word of Latin letters and the comma or full stop that closes it. Texts with
-other white space, and tokenizers of other kinds, are encoded whole.
+A piece ends where the tokenizer's own pre-tokenizer always ends a token: before a single blank or newline
+between other characters, or between a word of Latin letters and the comma or full stop that closes it. Texts
+with other white space, and tokenizers of other kinds, are encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
+from array import array
 
-import numpy as np
-
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_LED = re.compile(rf"[ \n]*[{_LETTERS}]+(?=[,.]?(?:[ \n]|$))|[ \n]*[^ \n]+|[ \n]+")
-_BARE = re.compile(rf"[{_LETTERS}]+(?=[,.]?(?:[ \n]|$))|[^ \n]+")
-_ODD = re.compile(r"[^\S \n]")
-CACHE_PIECES = 300_000
-SOME_TEXTS = 128
+_CLOSED = re.compile(r"[\x00\n]?[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Pieces that a worker keeps (some 250 bytes each) before it starts anew.
+CACHE_PIECES = 900_000
+SOME_TEXTS = 256
 
 
 def default_tokenizer(name: str) -> str:
@@ -28,6 +27,22 @@ def default_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _led_pieces(text: str) -> list[str] | None:
+    """Pieces for a tokenizer whose tokens take the blank before them. A key stands for blank + key; one that starts with a newline, or with NUL (the first), for what follows as it is."""
+    if " ".join(text.split()) != text.replace("\n", " ") or "\x00" in text:
+        return None
+    return ("\x00" + text.replace("\n", " \n")).split(" ") if text else []
+
+
+def _led_text(key: str) -> str:
+    return key[1:] if key[0] == "\x00" else key if key[0] == "\n" else " " + key
+
+
+def _bare_pieces(text: str) -> list[str] | None:
+    """Pieces for a tokenizer that drops white space."""
+    return None if _SEPARATORS.search(text) else text.split()
+
+
 class PieceEncoder:
     """Encodes texts as little-endian unsigned 32-bit ids. Special tokens in a text are ordinary text."""
 
@@ -40,39 +55,64 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.pattern = None
+        self.pieces = self.text = None
         if norm is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
-            self.pattern = _LED
+            self.pieces, self.text = _led_pieces, _led_text
         elif [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-            self.pattern = _BARE
-        self.cache: dict[str, bytes] = {}
+            self.pieces, self.text = _bare_pieces, str
+        self.known: dict[str, bytes] = {}
         self.bound = cache
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._batch(texts, add_special_tokens=False)] if texts else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), SOME_TEXTS):
-            out += self._some(texts[at : at + SOME_TEXTS])
+        collecting = gc.isenabled()
+        gc.disable()  # long lists of bytes would be walked again and again; they hold no cycles
+        try:
+            for at in range(0, len(texts), SOME_TEXTS):
+                out += self._some(texts[at : at + SOME_TEXTS])
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
+    def _learn(self, missing: set[str]) -> None:
+        known = self.known
+        closed = [k for k in missing if k[-1] in ",." and _CLOSED.fullmatch(k)]
+        marks = {c: "\x00" + c if self.text is _led_text else c for c in ",."}
+        plain = missing.difference(closed)
+        plain.update(k for k in (*(k[:-1] for k in closed), *marks.values()) if k not in known)
+        plain = list(plain)
+        known.update(zip(plain, self._whole([self.text(k) for k in plain]), strict=True))
+        known.update([(k, known[k[:-1]] + known[marks[k[-1]]]) for k in closed])
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        if self.pattern is None:
+        if self.pieces is None:
             return self._whole(texts)
-        pieces = [None if _ODD.search(t) else self.pattern.findall(t) for t in texts]
-        needed = set()
-        for p in pieces:
-            if p:
-                needed.update(p)
-        missing = list(needed.difference(self.cache))
-        if len(self.cache) + len(missing) > self.bound:
-            self.cache.clear()
-            missing = list(needed)
-        self.cache.update(zip(missing, self._whole(missing), strict=True))
-        odd = iter(self._whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join(map(self.cache.__getitem__, p)) for p in pieces]
+        if len(self.known) > self.bound:
+            self.known.clear()
+        cut = [self.pieces(t) for t in texts]
+        get = self.known.get
+        found = [None if p is None else list(map(get, p)) for p in cut]
+        holes: list[tuple] = []
+        for p, f in zip(cut, found, strict=True):
+            at = -1
+            while f:
+                try:
+                    at = f.index(None, at + 1)
+                except ValueError:
+                    break
+                holes.append((f, at, p[at]))
+        if holes:
+            self._learn({k for _, _, k in holes})
+            known = self.known
+            for f, at, k in holes:
+                f[at] = known[k]
+        odd = iter(self._whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
+        return [next(odd) if f is None else b"".join(f) for f in found]
 
 
 @functools.cache
