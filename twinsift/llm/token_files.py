@@ -42,7 +42,8 @@ def pack_block(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     odd = np.flatnonzero(need > width)
     short = diff.copy()
     short[odd] = 0
-    bits = ((short[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    kind = "<u4" if width <= 32 else "<u8"
+    bits = np.unpackbits(short.astype(kind).view(np.uint8).reshape(len(short), -1), axis=1, bitorder="little")[:, :width]
     head = struct.pack("<QBII", int(low), width, len(values), len(odd))
     return head + np.packbits(bits, axis=None, bitorder="little").tobytes() + odd.astype("<u4").tobytes() + diff[odd].astype("<u8").tobytes()
 
@@ -51,9 +52,9 @@ def unpack_block(data) -> np.ndarray:
     low, width, n, n_odd = struct.unpack_from("<QBII", data)
     at, size = struct.calcsize("<QBII"), (n * width + 7) // 8
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-    padded = np.zeros((n, 64), np.uint8)
+    padded = np.zeros((n, 32 if width <= 32 else 64), np.uint8)
     padded[:, :width] = bits
-    out = np.packbits(padded, axis=1, bitorder="little").view("<u8").reshape(n).astype(np.uint64)
+    out = np.packbits(padded, axis=1, bitorder="little").view("<u4" if width <= 32 else "<u8").reshape(n).astype(np.uint64)
     odd = np.frombuffer(data, "<u4", n_odd, at + size)
     out[odd] = np.frombuffer(data, "<u8", n_odd, at + size + 4 * n_odd)
     return out + np.uint64(low)
