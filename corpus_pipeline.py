@@ -13,6 +13,10 @@ from twinsift.llm.common import bounded_batches, fresh_path, remainder_of_id, ta
 from twinsift.llm.tokens import default_tokenizer
 
 
+#: Pieces that a worker of the packing stage keeps (some 250 bytes each).
+PACKING_PIECES = 200_000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the documents' own labels; texts in no language (null, or without letters) go."""
     model = language_id.train_language_codes(docs.where(remainder_of_id("doc_id", 4) != 2))
@@ -37,8 +41,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids."""
-    return packing.pack_documents(docs, default_tokenizer("byte_bpe_50k.json"), end_id=0)
+    """Sequences of at most 2048 ids. Workers keep the memory of earlier stages, so the piece cache is small."""
+    return packing.pack_documents(docs, default_tokenizer("byte_bpe_50k.json"), end_id=0, cache=PACKING_PIECES)
 
 
 STAGES = [

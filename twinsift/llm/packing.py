@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
-from .tokens import encoder
+from .tokens import CACHE_PIECES, encoder
 
 CAPACITY = 2048
 #: A bin with this little room left is closed.
@@ -56,7 +56,7 @@ def _cut(n: int, capacity: int):
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY, cache: int = CACHE_PIECES) -> DataFrame:
     """One row per piece, packed within its partition: key, piece, start, length, ids_crc32, part, bin, offset, fill."""
 
     def run(batches):
@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 names=[key, "piece", "start", "length", "ids_crc32", "part", "bin", "offset", "fill"],
             )
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for doc, ids in zip(keys, enc.encode(texts), strict=True):
@@ -95,13 +95,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     return written(docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, schema), "packing-pieces")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY, cache: int = CACHE_PIECES) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are a piece of the end id alone (of no id, with length 0, if end_id is None). Repeated
     rows are packed each; null keys stay null. An empty table gives no rows.
     """
-    pieces = token_pieces(docs, tokenizer, key, text, end_id, capacity)
+    pieces = token_pieces(docs, tokenizer, key, text, end_id, capacity, cache)
     room = capacity - NEARLY_FULL
     left = written(pieces.where(F.col("fill") < room).groupBy("bin").agg(F.first("fill").alias("fill"), F.first("part").alias("grp")), "packing-left")
     top = left.agg(F.max("grp")).first()[0]

@@ -116,6 +116,6 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
-    """One per Python worker."""
-    return PieceEncoder(path)
+def encoder(path: str, cache: int = CACHE_PIECES) -> PieceEncoder:
+    """One per Python worker (and size of cache)."""
+    return PieceEncoder(path, cache)
