@@ -105,6 +105,11 @@ def test_contamination(spark, rows, automaton_bytes):
                     hit |= set(range(i, i + len(p)))
                     names |= who
         assert got[k] == (len(w), len(hit), sorted(names))
+    clean = decontaminate.drop_contaminated(frame(spark, rows), bench, automaton_bytes=automaton_bytes)
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if not got[r[0]][1]), key=str)
+    assert clean.columns == frame(spark, rows).columns
+    assert decontaminate.drop_contaminated(frame(spark, []), bench).count() == 0
+    assert decontaminate.drop_contaminated(frame(spark, rows), bench.where("false")).count() == len(rows)
 
 
 def test_packing_and_token_files(spark, rows):

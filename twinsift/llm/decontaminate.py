@@ -84,20 +84,29 @@ def spans_of(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(int(chars[places[a][0]]) - 1, int(chars[places[b - 1][1] - 1])) for a, b in ranges]
 
 
+def _stored_windows(benchmark: DataFrame, key: str, text: str, window: int, automaton_bytes: int) -> tuple[DataFrame, int]:
+    """The windows, as a stored table, and the number of automata that hold them."""
+    windows = written(benchmark_windows(benchmark, key, text, window), "windows")
+    size = windows.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    return windows, max(1, -(-size // automaton_bytes))
+
+
+def _shard(windows: DataFrame, shard: int, shards: int):
+    """Broadcast of one automaton's (pattern, items): automaton_bytes of patterns, dealt evenly by hash."""
+    mine = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == shard)
+    rows = mine.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()
+    return windows.sparkSession.sparkContext.broadcast([(bytes(r["pattern"]), list(r["items"])) for r in rows])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per row of docs: key, n_words, n_hit (words in any hit), items (sorted strings), spans (character offsets of runs of hit words)."""
-    spark = docs.sparkSession
-    windows = written(benchmark_windows(benchmark, item_key, item_text, window), "windows")
-    size = windows.agg(F.sum(F.length("pattern"))).first()[0] or 0
-    shards = max(1, -(-size // automaton_bytes))
+    windows, shards = _stored_windows(benchmark, item_key, item_text, window, automaton_bytes)
     id_type = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {id_type}, row bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
     source = docs.select(F.col(key), F.col(text).cast("string"), F.monotonically_increasing_id().alias("row"))
 
     def scanned(shard: int) -> DataFrame:
-        # at most automaton_bytes of patterns by the sum above (dealt evenly by hash)
-        rows = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == shard).groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()
-        shared = spark.sparkContext.broadcast([(bytes(r["pattern"]), list(r["items"])) for r in rows])
+        shared = _shard(windows, shard, shards)
 
         def run(batches):
             import pyarrow as pa
@@ -149,3 +158,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     again = source.select("row", F.col(text).alias("_text")).join(hit, "row").select(key, "row", "n_words", "n_hit", "items", "spans", "_text")
     return written(again.mapInArrow(unite, schema), "contamination").drop("row")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Rows whose text no window hits, with all their columns.
+
+    Decided row by row while the texts are scanned, so nothing is shuffled. With several automata, each scans
+    what those before it kept, from a stored table.
+    """
+    windows, shards = _stored_windows(benchmark, item_key, item_text, window, automaton_bytes)
+    at = docs.columns.index(text)
+
+    def clean(shard: int, rows: DataFrame) -> DataFrame:
+        shared = _shard(windows, shard, shards)
+
+        def run(batches):
+            import pyarrow as pa
+
+            automaton = WindowAutomaton(shared.value)
+            for batch in batches:
+                stays = [not automaton.scan(raw.translate(FOLD).split())[0] for raw in bytes_of(batch.column(at))]
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    out = docs
+    for shard in range(shards):
+        kept = clean(shard, out)
+        out = written(kept, f"clean{shard}") if shard < shards - 1 else kept
+    drop_written(windows)
+    return out
