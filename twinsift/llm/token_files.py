@@ -28,8 +28,19 @@ PERCENTILE = 95
 FILE_IDS = 16_000_000
 
 
+def _fits(v: np.ndarray, bits: int) -> bool:
+    return int(v.max()) >> bits == 0
+
+
+def _holder(width: int) -> int:
+    """Bits of the machine integer that values of this width pass through."""
+    return 16 if width <= 16 else 32 if width <= 32 else 64
+
+
 def _widths(v: np.ndarray) -> np.ndarray:
     """Bits that each unsigned 64-bit value needs."""
+    if _fits(v, 32):
+        return np.frexp(v.astype(np.float64))[1]
     hi, lo = (v >> np.uint64(32)).astype(np.float64), (v & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(hi > 0, np.frexp(hi)[1] + 32, np.frexp(lo)[1])
 
@@ -38,12 +49,12 @@ def pack_block(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     low = values.min()
     diff = values - low
     need = _widths(diff)
-    width = int(np.sort(need)[(len(need) - 1) * percentile // 100])
+    at = (len(need) - 1) * percentile // 100
+    width = int(np.partition(need, at)[at])
     odd = np.flatnonzero(need > width)
     short = diff.copy()
     short[odd] = 0
-    kind = "<u4" if width <= 32 else "<u8"
-    bits = np.unpackbits(short.astype(kind).view(np.uint8).reshape(len(short), -1), axis=1, bitorder="little")[:, :width]
+    bits = np.unpackbits(short.astype(f"<u{_holder(width) // 8}").view(np.uint8).reshape(len(short), -1), axis=1, bitorder="little")[:, :width]
     head = struct.pack("<QBII", int(low), width, len(values), len(odd))
     return head + np.packbits(bits, axis=None, bitorder="little").tobytes() + odd.astype("<u4").tobytes() + diff[odd].astype("<u8").tobytes()
 
@@ -52,9 +63,10 @@ def unpack_block(data) -> np.ndarray:
     low, width, n, n_odd = struct.unpack_from("<QBII", data)
     at, size = struct.calcsize("<QBII"), (n * width + 7) // 8
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-    padded = np.zeros((n, 32 if width <= 32 else 64), np.uint8)
+    held = _holder(width)
+    padded = np.zeros((n, held), np.uint8)
     padded[:, :width] = bits
-    out = np.packbits(padded, axis=1, bitorder="little").view("<u4" if width <= 32 else "<u8").reshape(n).astype(np.uint64)
+    out = np.packbits(padded, axis=None, bitorder="little").view(f"<u{held // 8}").reshape(n).astype(np.uint64)
     odd = np.frombuffer(data, "<u4", n_odd, at + size)
     out[odd] = np.frombuffer(data, "<u8", n_odd, at + size + 4 * n_odd)
     return out + np.uint64(low)
