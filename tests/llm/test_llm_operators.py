@@ -140,6 +140,24 @@ def test_packing_and_token_files(spark, rows):
         at += len(ids[k])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_encode_as_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    from twinsift.llm.tokens import PieceEncoder
+
+    rng = random.Random(11)
+    letters, odd = "abcdefghijklmnopqrstuvwxyzABCDÀÉßñöøÿ", ["don't", "x2", "Ġ", "</w>", "<|endoftext|>", "é", "co-op", "ﬁ", "İ", "a,", "B.", "日本", "1,5", ",", "."]
+    word = lambda: rng.choice(odd) if rng.random() < 0.2 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) + rng.choice(["", "", ",", "."])
+    texts = ["", " ", "a  b", "x\ty", *(rng.choice([" ", "\n", ""]) + rng.choice([" ", "\n"]).join(word() for _ in range(rng.randint(1, 400))) for _ in range(300))]
+    tok = Tokenizer.from_file(default_tokenizer(name))
+    tok.encode_special_tokens = True
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for bound in (10, 100_000):
+        enc = PieceEncoder(default_tokenizer(name), bound)
+        assert enc.edge is not None and enc.encode(texts) == want and enc.encode(texts[::-1]) == want[::-1]
+
+
 def test_patched_blocks():
     rng = np.random.default_rng(1)
     for top in (1, 2, 300, 2**31, 2**63):
