@@ -57,6 +57,7 @@ def test_code_units(spark):
     import ast
 
     assert code.complexity_of(ast.parse(BRANCHES)) == 7
+    assert code.complexity_of(ast.parse("try:\n    assert a\nexcept E:\n    pass")) == 3
     assert code.notebook_cells("n.ipynb", '{"cells": [{"cell_type": "markdown"}, {"cell_type": "code", "source": ["x"]}]}') == [("n.ipynb#cell_2", "x")]
 
 

@@ -7,9 +7,11 @@ gives no rows. All later steps are DataFrame operations on the units.
 from __future__ import annotations
 
 import ast
+import builtins
 import hashlib
 import json
-from collections import Counter
+import re
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,9 +20,15 @@ from pyspark.sql import functions as F
 
 UNIT_SCHEMA = "file string, name string, kind string, start int, end int, start_col int, end_col int, tokens array<string>, calls array<string>, complexity int, structural_hash string, enclosing_class string, is_async boolean"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert, ast.match_case)
+# What counts as a branch, as logging, as an annotation, and the comments that exempt a unit.
+_BRANCH = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.ExceptHandler, ast.match_case, ast.With, ast.AsyncWith)
+_PRINTERS = {"print", "log"}
+_LOGGERS = {"logger", "logging"}
+_LOG_METHODS = {"debug", "info", "warning", "warn", "error", "critical", "exception", "fatal", "trace", "log", "_log"}
+_ANNOTATION_FIELDS = {"annotation", "returns", "type_comment", "type_params"}
+_PRAGMA = re.compile(r"#.*?(?:twinsift\s*:?\s*ignore|noqa:\s*(?:clone|duplicate))", re.IGNORECASE)
 _BLOCK = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
-_COMPREHENSION = {ast.ListComp: "listcomp", ast.DictComp: "dictcomp", ast.SetComp: "setcomp", ast.GeneratorExp: "genexp"}
+_COMPREHENSION = (ast.ListComp, ast.DictComp, ast.SetComp, ast.GeneratorExp)
 _OPERATION = (ast.BinOp, ast.BoolOp, ast.UnaryOp, ast.Compare, ast.Call, ast.IfExp, ast.Subscript, ast.Attribute, ast.Lambda)
 
 
@@ -32,32 +40,97 @@ def read_sources(spark: SparkSession, folder: str, excludes: tuple[str, ...] = (
     return files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
 
 
-def tokens_of(nodes, blind: bool = False, literals: bool = False) -> list[str]:
-    """Breadth-first node names; constants by type; identifiers numbered by first sight when blind; docstrings and annotations left out."""
-    queue = list(nodes) if isinstance(nodes, list) else [nodes]
-    seen: dict[tuple, str] = {}
-    out = []
-    while queue:
-        n = queue.pop(0)
-        if isinstance(n, ast.Constant):
-            out.append("LITERAL" if literals else f"CONST_{type(n.value).__name__}")
-        elif isinstance(n, _DEFS):
-            out.append("FUNC")
-        elif isinstance(n, ast.ClassDef):
-            out.append("CLASS")
-        elif blind and isinstance(n, (ast.Name, ast.Attribute, ast.arg)):
-            kind, name = {ast.Name: ("VAR", "id"), ast.Attribute: ("ATTR", "attr"), ast.arg: ("ARG", "arg")}[type(n)]
-            key = (kind, getattr(n, name))
-            out.append(seen.setdefault(key, f"{kind}_{sum(k[0] == kind for k in seen)}"))
-        else:
-            out.append("Assign" if isinstance(n, ast.AnnAssign) else type(n).__name__)
-        for field, value in ast.iter_fields(n):
-            if field in ("annotation", "returns", "type_comment"):
+class _Names:
+    """Tokens of identifiers: their kind, numbers by first sight (blind), or builtin / argument / local (renaming)."""
+
+    def __init__(self, blind: bool, renaming: bool):
+        self.blind, self.renaming = blind, renaming
+        self.seen: dict[str, dict[str, int]] = {"VAR": {}, "ATTR": {}, "ARG": {}, "LVAR": {}}
+
+    def number(self, kind: str, name: str) -> str:
+        known = self.seen[kind]
+        return f"{kind}_{known.setdefault(name, len(known))}"
+
+    def declare(self, args: ast.arguments) -> None:
+        for a in (*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg))):
+            if not hasattr(builtins, a.arg):
+                self.number("ARG", a.arg)
+
+    def token(self, kind: str, name: str) -> str:
+        if not (self.blind or self.renaming):
+            return kind
+        if kind == "ATTR" or not self.renaming:
+            return self.number(kind, name)
+        if hasattr(builtins, name):
+            return f"BUILTIN_{name}"
+        return self.number("ARG" if kind == "ARG" or name in self.seen["ARG"] else "LVAR", name)
+
+
+def _is_noise(n: ast.AST) -> bool:
+    """Assertions, and statements that only print or log."""
+    if not (isinstance(n, ast.Expr) and isinstance(n.value, ast.Call)):
+        return isinstance(n, ast.Assert)
+    f = n.value.func
+    if isinstance(f, ast.Name):
+        return f.id in _PRINTERS
+    return isinstance(f, ast.Attribute) and (f.attr in _LOG_METHODS or (isinstance(f.value, ast.Name) and f.value.id in _LOGGERS))
+
+
+def _marker(n: ast.AST, field: str, value) -> str | None:
+    """COND for a computed test or guard, EXPR for a computed value that is assigned."""
+    if (field == "test" and isinstance(n, (ast.If, ast.While, ast.IfExp))) or (field == "guard" and isinstance(n, ast.match_case)):
+        return "COND" if isinstance(value, (ast.Compare, ast.BoolOp, ast.UnaryOp)) else None
+    if field == "value" and isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+        return "EXPR" if isinstance(value, (ast.BinOp, ast.UnaryOp, ast.Compare, ast.BoolOp, ast.IfExp)) else None
+    return None
+
+
+def _has_docstring(n: ast.AST) -> bool:
+    if not isinstance(n, (*_DEFS, ast.ClassDef, ast.Module)) or not n.body or not isinstance(n.body[0], ast.Expr):
+        return False
+    return isinstance(n.body[0].value, ast.Constant) and isinstance(n.body[0].value.value, str)
+
+
+def tokens_of(nodes, blind: bool = False, literals: bool = False, renaming: bool = False, boilerplate: bool = False, abstract: bool = False, annotations: bool = False, docstrings: bool = False) -> list[str]:
+    """Node names, breadth first within each node of a list; constants by type.
+
+    blind / renaming number identifiers, literals blinds constants (and drops docstrings), boilerplate drops logging,
+    abstract replaces computed tests and values by markers, annotations / docstrings keep what is left out otherwise.
+    """
+    names = _Names(blind, renaming)
+    out: list[str] = []
+    for root in nodes if isinstance(nodes, list) else [nodes]:
+        if renaming and isinstance(root, _DEFS):
+            names.declare(root.args)
+        queue = deque([root])
+        while queue:
+            n = queue.popleft()
+            if boilerplate and _is_noise(n):
                 continue
-            items = value if isinstance(value, list) else [value]
-            if field == "body" and isinstance(n, (*_DEFS, ast.ClassDef, ast.Module)) and items and isinstance(items[0], ast.Expr) and isinstance(items[0].value, ast.Constant) and isinstance(items[0].value.value, str):
-                items = items[1:]
-            queue += [x for x in items if isinstance(x, ast.AST)]
+            if isinstance(n, ast.Constant):
+                out.append("LITERAL" if literals else f"CONST_{type(n.value).__name__}")
+            elif isinstance(n, _DEFS):
+                out.append("FUNC")
+            elif isinstance(n, ast.ClassDef):
+                out.append("CLASS")
+            elif isinstance(n, ast.Name):
+                out.append(names.token("VAR", n.id))
+            elif isinstance(n, ast.Attribute):
+                out.append(names.token("ATTR", n.attr))
+            elif isinstance(n, ast.arg):
+                out.append(names.token("ARG", n.arg))
+            else:
+                out.append("Assign" if isinstance(n, ast.AnnAssign) and not annotations else type(n).__name__)
+            for field, value in ast.iter_fields(n):
+                if not annotations and field in _ANNOTATION_FIELDS:
+                    continue
+                if abstract and (mark := _marker(n, field, value)):
+                    out.append(mark)
+                    continue
+                items = value if isinstance(value, list) else [value]
+                if field == "body" and (literals or not docstrings) and _has_docstring(n):
+                    items = items[1:]
+                queue.extend(x for x in items if isinstance(x, ast.AST))
     return out
 
 
@@ -89,7 +162,7 @@ def complexity_of(nodes) -> int:
 
 
 class _Operands(ast.NodeTransformer):
-    """Operands of commutative operators in a fixed order."""
+    """Operands of commutative operators, of single equality tests and of match alternatives in a fixed order."""
 
     def visit_BoolOp(self, node):
         self.generic_visit(node)
@@ -102,6 +175,63 @@ class _Operands(ast.NodeTransformer):
             node.left, node.right = node.right, node.left
         return node
 
+    def visit_Compare(self, node):
+        self.generic_visit(node)
+        other = node.comparators[0]
+        if len(node.ops) == 1 and isinstance(node.ops[0], (ast.Eq, ast.NotEq, ast.Is, ast.IsNot)) and ast.dump(other) < ast.dump(node.left):
+            node.left, node.comparators = other, [node.left]
+        return node
+
+    def visit_MatchOr(self, node):
+        self.generic_visit(node)
+        node.patterns.sort(key=ast.dump)
+        return node
+
+
+class _Idioms(ast.NodeTransformer):
+    """Loops that only fill a container become comprehensions; loops that only search become any() or all()."""
+
+    def visit_For(self, node):
+        self.generic_visit(node)
+        if len(node.body) != 1 or node.orelse:
+            return node
+        step, tests = node.body[0], []
+        if isinstance(step, ast.If) and len(step.body) == 1 and not step.orelse:
+            step, tests = step.body[0], [step.test]
+        loop = ast.comprehension(node.target, node.iter, tests, int(isinstance(node, ast.AsyncFor)))
+        new = self._filled(step, loop)
+        if new is None and tests and isinstance(node, ast.For):
+            new = self._searched(step, tests[0], ast.comprehension(node.target, node.iter, [], 0))
+        return node if new is None else ast.fix_missing_locations(ast.copy_location(new, node))
+
+    visit_AsyncFor = visit_For
+
+    @staticmethod
+    def _filled(step, loop):
+        match step:
+            case ast.Expr(ast.Call(ast.Attribute(box, "append"), [item])):
+                value = ast.ListComp(item, [loop])
+            case ast.Expr(ast.Call(ast.Attribute(box, "add"), [item])):
+                value = ast.SetComp(item, [loop])
+            case ast.Assign([ast.Subscript(box, key)], item):
+                value = ast.DictComp(key, item, [loop])
+            case _:
+                return None
+        if isinstance(box, ast.Name):
+            return ast.Assign([ast.Name(box.id, ast.Store())], value)
+        return ast.Assign([ast.Attribute(box.value, box.attr, ast.Store())], value) if isinstance(box, ast.Attribute) else None
+
+    @staticmethod
+    def _searched(step, test, loop):
+        match step, test:
+            case ast.Return(ast.Constant(value=True)), _:
+                name = "any"
+            case ast.Return(ast.Constant(value=False)), ast.UnaryOp(ast.Not(), operand):
+                name, test = "all", operand
+            case _:
+                return None
+        return ast.Return(ast.Call(ast.Name(name, ast.Load()), [ast.GeneratorExp(test, [loop])], []))
+
 
 def _local(root):
     """Nodes below root, not inside nested functions or classes."""
@@ -113,48 +243,74 @@ def _local(root):
             queue += list(ast.iter_child_nodes(n))
 
 
-def units_of(file: str, text: str, min_lines: int = 8, min_tokens: int = 15, window: int = 0, blind: bool = False, canonical: bool = False, kinds: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """Rows of UNIT_SCHEMA. kinds: further kinds than functions and blocks (clause_branch, class, complex_expr, data_table, comprehension)."""
+def units_of(file: str, text: str, min_lines: int = 8, min_tokens: int = 15, window: int = 0, blind: bool = False, canonical: bool = False, idioms: bool = False, functions_only: bool = False, kinds: tuple[str, ...] = (), **switches) -> Iterator[tuple]:
+    """Rows of UNIT_SCHEMA. kinds: further kinds than functions and blocks (clause_branch, class, complex_expr, data_table, comprehension, closure).
+
+    A comment from the line above a unit to its end can exempt it (and what lies in an exempt function); switches: of tokens_of.
+    """
+    lines = re.split(r"\r\n|\r|\n", text)
+
+    def exempt(first: int, last: int) -> bool:
+        return any(_PRAGMA.search(x) for x in lines[max(0, first - 2) : last])
+
     try:
         tree = ast.parse(text)
+        if idioms:
+            tree = _Idioms().visit(tree)
         if canonical:
             tree = _Operands().visit(tree)
     except (SyntaxError, ValueError, RecursionError):
         return
+    half = min_tokens // 2
     bounds = {
-        "complex_expr": (1, max(8, min_tokens // 2)), "data_table": (1, max(10, min_tokens // 2)), "comprehension": (1, max(8, min_tokens // 2)),
-        "clause_branch": (max(3, min_lines // 2), max(10, min_tokens // 2)), "class": (max(3, min_lines // 2), min_tokens), "closure": (max(4, min_lines // 2), max(10, min_tokens // 2)),
+        "complex_expr": (1, max(8, max(8, half) // 2)), "data_table": (1, max(10, max(10, half) // 2)), "comprehension": (1, max(8, max(8, half) // 2)),
+        "clause_branch": (max(3, min_lines // 2), max(10, half)), "class": (max(3, min_lines // 2), min_tokens), "closure": (max(4, min_lines // 2), max(10, half)),
     }
 
     def unit(name, kind, nodes, owner=None, is_async=False):
-        first, last = (nodes[0], nodes[-1]) if isinstance(nodes, list) else (nodes, nodes)
-        lines, least = bounds.get(kind, (min_lines, min_tokens))
-        if last.end_lineno - first.lineno + 1 < lines:
+        ends = (nodes[0], nodes[-1]) if isinstance(nodes, list) else (nodes, nodes)
+        # a module has no position: a cell spans no lines, so that only min_lines <= 1 lets it pass
+        first, start_col = getattr(ends[0], "lineno", 0), getattr(ends[0], "col_offset", 0)
+        last, end_col = getattr(ends[1], "end_lineno", 0), getattr(ends[1], "end_col_offset", 0)
+        height, least = bounds.get(kind, (min_lines, min_tokens))
+        if last - first + 1 < height or exempt(first, last):
             return
-        tokens = tokens_of(nodes, blind)
+        tokens = tokens_of(nodes, blind, **switches)
         if len(tokens) >= least:
-            yield file, name, kind, first.lineno, last.end_lineno, first.col_offset, last.end_col_offset, tokens, calls_of(nodes), complexity_of(nodes), hashlib.sha256(" ".join(tokens).encode()).hexdigest()[:16], owner, is_async
+            yield file, name, kind, first, last, start_col, end_col, tokens, calls_of(nodes), complexity_of(nodes), hashlib.sha256(" ".join(tokens).encode()).hexdigest()[:16], owner, is_async
 
     owners = {id(f): c.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body}
-    nested = {id(g) for f in ast.walk(tree) if isinstance(f, _DEFS) for g in ast.walk(f) if g is not f and isinstance(g, _DEFS)}
+    nested: dict[int, str] = {}  # nested function -> the innermost function around it
+    around: dict[int, str] = {}  # node -> the innermost function around it
+    for f in (n for n in ast.walk(tree) if isinstance(n, _DEFS)):
+        for n in ast.walk(f):
+            if n is not f:
+                around[id(n)] = f.name
+                if isinstance(n, _DEFS):
+                    nested[id(n)] = f.name
+    if "notebook_cell" in kinds:
+        yield from unit(file.rpartition("#")[2], "notebook_cell", tree)
     for f in (n for n in ast.walk(tree) if isinstance(n, _DEFS)):
         owner, flag = owners.get(id(f)), isinstance(f, ast.AsyncFunctionDef)
-        body = f.body[1:] if ast.get_docstring(f, clean=False) is not None else f.body
-        if len(body) > 1 or id(f) in nested:
-            yield from unit(f.name, "closure" if id(f) in nested else "function", f, owner, flag)
+        closure = id(f) in nested and "closure" in kinds
+        name = f"{nested[id(f)]}:{f.name}" if closure else f.name
+        if exempt(f.lineno, f.end_lineno):
+            continue
+        if closure or "notebook_cell" in kinds or len(f.body) - _has_docstring(f) > 1:
+            yield from unit(name, "closure" if closure else "function", f, owner, flag)
         for n in _local(f):
-            if isinstance(n, _BLOCK) and n.end_lineno - n.lineno < f.end_lineno - f.lineno:
-                yield from unit(f"{f.name}:{type(n).__name__}", "compound_block", n, owner, flag)
+            if not functions_only and isinstance(n, _BLOCK) and n.end_lineno - n.lineno < f.end_lineno - f.lineno:
+                yield from unit(f"{name}:{type(n).__name__}", "compound_block", n, owner, flag)
             if "clause_branch" in kinds:
                 for label in ("body", "orelse", "finalbody"):
                     branch = getattr(n, label, None)
                     if isinstance(n, (ast.If, ast.Try, ast.ExceptHandler, ast.match_case)) and isinstance(branch, list) and len(branch) >= 3:
-                        yield from unit(f"{f.name}:{type(n).__name__.lower()}_{label}", "clause_branch", branch, owner, flag)
-            if "comprehension" in kinds and type(n) in _COMPREHENSION:
-                yield from unit(f"{f.name}:{_COMPREHENSION[type(n)]}_L{n.lineno}", "comprehension", n, owner, flag)
-        for k in range(len(body) - window + 1 if window else 0):
-            part = body[k : k + window]
-            yield from unit(f"{f.name}:stmts_{k + 1}-{k + window}", "sliding_window", part, owner, flag)
+                        yield from unit(f"{name}:{type(n).__name__.lower()}_{label}", "clause_branch", branch, owner, flag)
+        for k in range(len(f.body) - window + 1 if window else 0):
+            yield from unit(f"{name}:stmts_{k + 1}-{k + window}", "sliding_window", f.body[k : k + window], owner, flag)
+    if "comprehension" in kinds:
+        for n in (n for n in ast.walk(tree) if isinstance(n, _COMPREHENSION)):
+            yield from unit(f"{around.get(id(n), 'module')}:{type(n).__name__.lower()}_L{n.lineno}", "comprehension", n)
     if "class" in kinds:
         for c in (n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)):
             yield from unit(f"class:{c.name}", "class", c)
@@ -163,13 +319,13 @@ def units_of(file: str, text: str, min_lines: int = 8, min_tokens: int = 15, win
             if isinstance(a.targets[0], ast.Name) and isinstance(a.value, (ast.Dict, ast.List, ast.Set, ast.Tuple)):
                 yield from unit(f"data_table:{a.targets[0].id}", "data_table", a.value)
     if "complex_expr" in kinds:
-        queue: list = [tree]
+        queue = deque([tree])
         while queue:
-            n = queue.pop(0)
+            n = queue.popleft()
             if isinstance(n, ast.expr) and sum(isinstance(x, _OPERATION) for x in ast.walk(n)) >= 4:
                 yield from unit(f"expr:{n.lineno}", "complex_expr", n)
             else:
-                queue += list(ast.iter_child_nodes(n))
+                queue.extend(ast.iter_child_nodes(n))
 
 
 def harvest(files: DataFrame, **options) -> DataFrame:
@@ -181,7 +337,7 @@ def harvest(files: DataFrame, **options) -> DataFrame:
             for file, text in zip(frame.file, frame.content, strict=True):
                 if file.endswith(".ipynb"):
                     for label, source in notebook_cells(file, text or ""):
-                        rows += units_of(label, source, **options)
+                        rows += cell_units(label, source, **options)
                 else:
                     rows += units_of(file, text or "", **options)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNIT_SCHEMA.split(", ")])
@@ -189,6 +345,12 @@ def harvest(files: DataFrame, **options) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, UNIT_SCHEMA)
 
 
+def cell_units(label: str, source: str, **options) -> Iterator[tuple]:
+    """A code cell as one unit, and its functions; no blocks, windows or other kinds."""
+    plain = {k: v for k, v in options.items() if k not in ("window", "kinds", "functions_only")}
+    yield from units_of(label, source, functions_only=True, kinds=("notebook_cell",), **plain)
+
+
 def notebook_cells(file: str, text: str) -> list[tuple[str, str]]:
     """(label, source) of code cells; the number in a label counts all cells."""
     try:
@@ -198,5 +360,52 @@ def notebook_cells(file: str, text: str) -> list[tuple[str, str]]:
         return []
 
 
+def module_name(path: str) -> str:
+    """Dotted name of a file's module; a leading src/ is not part of it, a package is named by its folder."""
+    parts = [p for p in path.removesuffix(".py").split("/") if p not in ("", ".")]
+    parts = parts[1:] if parts[:1] == ["src"] else parts
+    return ".".join(parts[:-1] if parts[-1:] == ["__init__"] else parts)
+
+
+def _runs_on_import(body: list) -> Iterator[ast.stmt]:
+    """Statements that importing a module runs; not those under TYPE_CHECKING or inside functions."""
+    for s in body:
+        yield s
+        if isinstance(s, _DEFS) or (isinstance(s, ast.If) and "TYPE_CHECKING" in ast.unparse(s.test)):
+            yield from _runs_on_import(s.orelse if isinstance(s, ast.If) else [])
+            continue
+        for field in ("body", "orelse", "handlers", "finalbody", "cases"):
+            yield from _runs_on_import(getattr(s, field, []))
+
+
+def imports_of(file: str, text: str) -> list[str]:
+    """Dotted names that a file imports when it is imported, relative ones resolved; none if it does not parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    here = module_name(file).split(".")
+    here = here if file.endswith("__init__.py") else here[:-1]
+    out: set[str] = set()
+    for s in _runs_on_import(tree.body):
+        if isinstance(s, ast.Import):
+            out |= {a.name for a in s.names}
+        elif isinstance(s, ast.ImportFrom) and s.level <= len(here):
+            base = ".".join([*(here[: len(here) - s.level + 1] if s.level else []), *filter(None, [s.module])])
+            out |= {x for x in (base, *(f"{base}.{a.name}" for a in s.names if a.name != "*")) if base}
+    return sorted(out)
+
+
+def import_rows(files: DataFrame) -> DataFrame:
+    """module, imported: one row per dotted name that a file (file, content) imports."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(module_name(f), i) for f, t in zip(frame.file, frame.content, strict=True) for i in imports_of(f, t or "")]
+            yield pd.DataFrame(rows, columns=["module", "imported"])
+
+    return files.select("file", "content").mapInPandas(run, "module string, imported string")
+
+
 def token_vector(tokens: list[str]) -> dict[str, int]:
     return dict(Counter(tokens))
