@@ -13,10 +13,9 @@ def unique_edges(edges: DataFrame) -> DataFrame:
     return edges.where("k1 <> k2").groupBy(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).agg(F.max("sim").alias("sim"))
 
 
-def connected_components(edges: DataFrame, every: int = 3) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): labels spread and jump until none changes; lineage is cut by checkpoint() where a folder is set."""
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or _set_folder(spark) else (lambda d: d.persist())
+    cut = checkpointer(edges.sparkSession)
     both = cut(edges.select("k1", "k2").union(edges.select("k2", "k1")).toDF("u", "v").distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
@@ -29,6 +28,13 @@ def connected_components(edges: DataFrame, every: int = 3) -> DataFrame:
             return labels.toDF("node", "component")
 
 
+def checkpointer(spark):
+    """Cuts lineage with checkpoint() where a shared folder is set (or the session is local), else keeps rows in memory."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or _set_folder(spark):
+        return lambda d: d.checkpoint()
+    return lambda d: d.persist()
+
+
 def _set_folder(spark) -> bool:
     import tempfile
 
