@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..sources import code
 from . import pairs as P
 from . import similarity
+from .families import checkpointer
 
 METRICS = ("shingles", "bag", "gapped", "tfidf", "calls")
 _PLACE = ("file", "name", "start", "end", "complexity")
@@ -46,8 +47,8 @@ def ranked(pairs: DataFrame, by: str = "similarity", top: int | None = None) ->
 
 
 def scan(files: DataFrame, threshold: float = 0.9, metric: str = "shingles", frequency: float = 0.25, suppress: bool = True, **options) -> DataFrame:
-    """files: file, content. Pairs of units; options are those of code.units_of()."""
-    units = unit_ids(code.harvest(files, **options))
+    """files: file, content. Pairs of units; options are those of code.units_of(). Files are parsed once, and the units kept."""
+    units = checkpointer(files.sparkSession)(unit_ids(code.harvest(files, **options)))
     found = scan_pairs(units, threshold, metric, similarity.postings_cap(units.count(), frequency))
     if not suppress:
         return found

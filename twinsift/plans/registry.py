@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import calibration, families, pairs, reports, similarity
-from ..sources import code
+from ..operators import baseline, calibration, edits, families, modules, pairs, reports, scan, similarity
+from ..sources import changes, code
 
 MIN_TOKENS, CAP, RARE = 15, 200, 20
 
@@ -286,6 +286,91 @@ def ast_kinds(spark, sf_dir):
     return units.where("kind in ('function', 'sliding_window')").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _nation_modules(spark, sf_dir):
+    """Each nation as a Python module that imports two others."""
+    k = F.col("n_nationkey")
+    text = F.format_string("import m.n_%d\nfrom m import n_%d\n\nif TYPE_CHECKING:\n    import m.n_0\n", (k * 3 + 1) % 25, (k * 7 + 2) % 25)
+    return _table(spark, sf_dir, "nation").select(F.format_string("src/m/n_%d.py", k).alias("file"), text.alias("content"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey * 7 + 2) % 25 FROM nation) WHERE a <> b),
+r AS (SELECT a, b, 1 AS hops FROM e UNION SELECT r.a, e.b, r.hops + 1 FROM r JOIN e ON e.a = r.b WHERE r.hops < 25)
+SELECT 'm.n_' || a AS src, 'm.n_' || b AS dst, min(hops) AS hops FROM r GROUP BY a, b"""
+)
+def module_reachability(spark, sf_dir):
+    files = _nation_modules(spark, sf_dir)
+    known = files.select(F.regexp_replace(F.regexp_replace("file", r"^src/|\.py$", ""), "/", ".").alias("module"))
+    return modules.reachable(modules.resolved_edges(code.import_rows(files), known))
+
+
+@query("SELECT o_orderkey AS file, string_agg('|' || coalesce(q, CAST(i AS VARCHAR)), '' ORDER BY i) AS content FROM (SELECT o_orderkey, unnest(range(1, 8)) AS i FROM orders) LEFT JOIN (SELECT l_orderkey, l_linenumber, min(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS q FROM lineitem GROUP BY 1, 2) ON l_orderkey = o_orderkey AND l_linenumber = i GROUP BY o_orderkey")
+def applied_edits(spark, sf_dir):
+    files = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.lit("|1|2|3|4|5|6|7").alias("content"))
+    n = F.col("l_linenumber")
+    plan = _table(spark, sf_dir, "lineitem").where("l_linenumber between 1 and 7").groupBy(F.col("l_orderkey").alias("file"), "l_linenumber").agg(F.min(F.col("l_quantity").cast("int").cast("string")).alias("new"))
+    return edits.apply_edits(files, plan.select("file", (2 * n - 1).alias("start"), (2 * n).alias("end"), "new")).select("file", "content")
+
+
+@query(r"""WITH l AS (SELECT doc_id AS file, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$') AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT file, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS line FROM l)
+SELECT file, CAST(line AS INTEGER) AS line, CAST(length(x) AS BIGINT) AS length, CAST(coalesce(sum(length(x)) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u""")
+def line_offsets(spark, sf_dir):
+    return edits.line_offsets(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
+
+
+@query(
+    """SELECT l_orderkey AS blame, substr(sha1(CAST(l_suppkey AS VARCHAR)), 1, 8) AS commit, 'Supplier ' || l_suppkey AS author, CAST(epoch(l_shipdate) AS BIGINT) AS ts, 'ships ' || l_suppkey AS summary
+FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY epoch(l_shipdate) DESC, l_linenumber, l_suppkey) = 1"""
+)
+def blame_latest(spark, sf_dir):
+    """Each line item as the blame of one line: its supplier is the commit, its ship date the author's time."""
+    who = F.col("l_suppkey").cast("string")
+    ts = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string")
+    text = F.array(F.concat(F.sha1(who), F.lit(" 1 1 1")), F.concat(F.lit("author Supplier "), who), F.concat(F.lit("author-time "), ts), F.concat(F.lit("summary ships "), who), F.lit("\tx"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")) * 5
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("blame"), rank.alias("at"), F.posexplode(text).alias("k", "line"))
+    return changes.latest_commit(lines.select("blame", (F.col("at") + F.col("k")).alias("ln"), "line"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem)
+SELECT l_orderkey, l_linenumber, least('p' || l_partkey || '/a.py:f', 's' || l_suppkey || '/b.py:g') || ' <===> ' || greatest('p' || l_partkey || '/a.py:f', 's' || l_suppkey || '/b.py:g') AS fingerprint,
+least('p' || l_partkey || '#' || l_suppkey, 's' || l_suppkey || '#' || l_partkey) || ' <===> ' || greatest('p' || l_partkey || '#' || l_suppkey, 's' || l_suppkey || '#' || l_partkey) AS namespace_hash,
+least(CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR)) || ' <===> ' || greatest(CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR)) AS pure FROM l"""
+)
+def clone_fingerprints(spark, sf_dir):
+    part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    rows = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("p"), part, F.lit("/a.py")).alias("file1"), F.lit("f").alias("name1"), supp.alias("hash1"),
+        F.concat(F.lit("s"), supp, F.lit("/b.py")).alias("file2"), F.lit("g").alias("name2"), part.alias("hash2"),
+    )
+    return baseline.fingerprints(rows).select("l_orderkey", "l_linenumber", "fingerprint", "namespace_hash", "pure")
+
+
+@query("WITH " + _P % (0.7, 0.7) + " SELECT unnest(['::warning file=' || i || ',line=1,endLine=' || n1 || '::Duplicate of ' || j || ' in ' || j, '::warning file=' || j || ',line=1,endLine=' || n2 || '::Duplicate of ' || i || ' in ' || i]) AS line FROM p")
+def annotation_lines(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    rows = _pairs(spark, sf_dir).select("sim", text("i").alias("file1"), text("i").alias("name1"), F.lit(1).alias("start1"), F.col("n1").alias("end1"), text("j").alias("file2"), text("j").alias("name2"), F.lit(1).alias("start2"), F.col("n2").alias("end2"))
+    return reports.annotations(rows)
+
+
+@query(r"SELECT source AS file, CAST(sum(CASE WHEN regexp_matches(x, '^\s*(#|$)') THEN 0 ELSE 1 END) AS BIGINT) AS sloc FROM (SELECT source, regexp_replace(unnest(regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$')), '[\r\n]+$', '') AS x FROM documents) GROUP BY source")
+def code_lines_by_source(spark, sf_dir):
+    lines = scan.code_lines(_table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("text").alias("content")))
+    return lines.groupBy("file").agg(F.sum(F.col("is_code").cast("bigint")).alias("sloc"))
+
+
+@query("SELECT 'p' || a.p_partkey || '.py' AS file1, 'p' || b.p_partkey || '.py' AS file2, 1.0::DOUBLE AS sim FROM part a JOIN part b ON a.p_partkey % 2 = 0 AND b.p_partkey = a.p_partkey + 1")
+def source_scan(spark, sf_dir):
+    """Whole scan by call traces: each part as a file with one function, whose calls name half its key, so that neighbours agree."""
+    key, half = F.col("p_partkey").cast("string"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string")
+    body = "def run_{k}(v):\n    a = open_{h}(v)\n    b = read_{h}(a)\n    if b:\n        c = sort_{h}(b)\n    else:\n        c = list_{h}(a)\n    d = pack_{h}(c)\n    return done_{h}(d)\n"
+    text = F.replace(F.replace(F.lit(body), F.lit("{k}"), key), F.lit("{h}"), half)
+    files = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".py")).alias("file"), text.alias("content"))
+    return scan.scan(files, 0.9, metric="calls", functions_only=True).select("file1", "file2", "sim")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
