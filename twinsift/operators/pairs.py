@@ -7,30 +7,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import normalized_path, notebook_base, sorted_pair
 
-def merge_adjacent(pairs: DataFrame, tolerance: int = 2) -> DataFrame:
-    """pairs: file1, name1, start1, end1, file2, name2, start2, end2, sim. Pairs of the same files and base names whose ranges are both within tolerance lines merge, until none do; sim is the largest."""
-    cols = "file1 string, name1 string, file2 string, name2 string, start1 bigint, end1 bigint, start2 bigint, end2 bigint, sim double"
+
+_SIDES = ("file", "name", "start", "end", "shingles")
+_MERGED = "file1 string, name1 string, start1 bigint, end1 bigint, file2 string, name2 string, start2 bigint, end2 bigint, sim double"
+
+
+def _joined(a: dict, b: dict) -> dict:
+    start, end = min(a["start"], b["start"]), max(a["end"], b["end"])
+    name = f"{a['name'].split(':')[0]}:merged_{start}-{end}"
+    return a | {"start": start, "end": end, "name": name, "shingles": a["shingles"] | b["shingles"]}
+
+
+def _near(a: dict, b: dict, tolerance: int) -> bool:
+    return a["start"] <= b["end"] + tolerance and b["start"] <= a["end"] + tolerance
+
+
+def merge_adjacent(pairs: DataFrame, tolerance: int = 2, threshold: float | None = None) -> DataFrame:
+    """Pairs of the same files and base names whose ranges are within tolerance lines on both sides merge, until none do.
+
+    pairs: file1, name1, start1, end1, file2, name2, start2, end2, sim and, optionally, shingles1, shingles2 (arrays).
+    Sides are put in the order of their files, lines and names first. A merged pair has the shingles of its parts and their Jaccard similarity (without
+    shingles: the largest similarity), and goes if that is below the threshold.
+    """
+    known = "shingles1" in pairs.columns
+    full = pairs if known else pairs.withColumns({f"shingles{k}": F.array().cast("array<string>") for k in (1, 2)})
+    side = lambda k: F.struct(*(F.col(f"{c}{k}").cast("bigint" if c in ("start", "end") else "array<string>" if c == "shingles" else "string").alias(c) for c in _SIDES))
+    rank = lambda k: F.struct(F.col(f"file{k}"), F.col(f"start{k}").cast("bigint"), F.col(f"end{k}").cast("bigint"), F.col(f"name{k}"))
+    swap = rank(2) < rank(1)
+    both = full.select(F.when(swap, side(2)).otherwise(side(1)).alias("a"), F.when(swap, side(1)).otherwise(side(2)).alias("b"), F.col("sim").cast("double").alias("sim"))
+    flat = both.select(*(F.col(f"{x}.{c}").alias(f"{c}{k}") for k, x in ((1, "a"), (2, "b")) for c in _SIDES), "sim")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["start1", "start2", "end1", "end2"])[["start1", "end1", "start2", "end2", "sim"]].values.tolist()
-        changed = True
-        while changed:
-            changed, out = False, []
-            for r in rows:
-                for o in out:
-                    if all(r[k] <= o[k + 1] + tolerance and o[k] <= r[k + 1] + tolerance for k in (0, 2)):
-                        o[:] = [min(o[0], r[0]), max(o[1], r[1]), min(o[2], r[2]), max(o[3], r[3]), max(o[4], r[4])]
-                        changed = True
-                        break
+        rows = []
+        for r in frame.sort_values(["start1", "start2", "end1", "end2"]).to_dict("records"):
+            one, two = ({c: set(r[f"{c}{k}"]) if c == "shingles" else r[f"{c}{k}"] for c in _SIDES} for k in (1, 2))
+            rows.append((one, two, r["sim"]))
+        count = -1
+        while count != len(rows):
+            count, out = len(rows), []
+            for one, two, sim in rows:
+                at = next((k for k, o in enumerate(out) if _near(o[0], one, tolerance) and _near(o[1], two, tolerance)), None)
+                if at is None:
+                    out.append((one, two, sim))
                 else:
-                    out.append(list(r))
+                    x, y = _joined(out[at][0], one), _joined(out[at][1], two)
+                    union = x["shingles"] | y["shingles"]
+                    out[at] = x, y, len(x["shingles"] & y["shingles"]) / len(union) if union else 0.0 if known else max(out[at][2], sim)
             rows = out
-        head = frame.iloc[0]
-        return pd.DataFrame([(head.file1, head.base1, head.file2, head.base2, int(a), int(b), int(c), int(d), s) for a, b, c, d, s in rows], columns=[x.split()[0] for x in cols.split(", ")])
-
-    based = pairs.withColumns({f"base{k}": F.split_part(f"name{k}", F.lit(":"), F.lit(1)) for k in (1, 2)})
-    return based.groupBy("file1", "file2", "base1", "base2").applyInPandas(run, cols)
+        return pd.DataFrame([(*(x[c] for c in _SIDES[:4]), *(y[c] for c in _SIDES[:4]), s) for x, y, s in rows], columns=[c.split()[0] for c in _MERGED.split(", ")])
+
+    based = flat.withColumns({f"base{k}": F.split_part(f"name{k}", F.lit(":"), F.lit(1)) for k in (1, 2)})
+    out = based.groupBy("file1", "file2", "base1", "base2").applyInPandas(run, _MERGED)
+    return out if threshold is None else out.where(F.col("sim") >= threshold)
+
+
+def drop_exemptions(pairs: DataFrame, exemptions: DataFrame, prefixes: tuple[str, ...] = ("src/",)) -> DataFrame:
+    """pairs: i, j, file1, name1, file2, name2; exemptions: a, b, each `file` or `file:name`, in either order.
+
+    An entry names files by path, by path without one of the prefixes, or (if neither end has a folder) by base name.
+    """
+    path = lambda c: normalized_path(F.regexp_replace(c, r":[^:/\\]*$", ""))
+    symbol = lambda c: F.regexp_extract(c, r"(:[^:/\\]+)$", 1)
+    base = lambda c: F.regexp_replace(c, "^.*/", "")
+    keyed = lambda tag, a, b: F.concat(F.lit(tag), sorted_pair(a, b))
+    a, b = F.col("a"), F.col("b")
+    plain = ~F.concat(path(a), path(b)).contains("/")
+    whole, short = keyed("p", F.concat(path(a), symbol(a)), F.concat(path(b), symbol(b))), keyed("b", F.concat(base(path(a)), symbol(a)), F.concat(base(path(b)), symbol(b)))
+    entries = exemptions.select(F.explode(F.when(plain, F.array(whole, short)).otherwise(F.array(whole))).alias("key")).distinct()
+    stripped = lambda c: F.coalesce(*(F.when(F.startswith(c, F.lit(p)), F.substr(c, F.lit(len(p) + 1))) for p in prefixes), c)
+    file = lambda k: normalized_path(f"file{k}")
+    name = lambda k: F.concat(F.lit(":"), f"name{k}")
+    ways = [("p", file), ("p", lambda k: stripped(file(k))), ("b", lambda k: base(file(k)))]
+    keys = [keyed(tag, f(1), f(2)) for tag, f in ways] + [keyed(tag, F.concat(f(1), name(1)), F.concat(f(2), name(2))) for tag, f in ways]
+    hit = pairs.select("i", "j", F.explode(F.array_distinct(F.array(*keys))).alias("key")).join(entries, "key", "left_semi").select("i", "j").distinct()
+    return pairs.join(hit, ["i", "j"], "left_anti")
+
+
+def _suffixes(path):
+    """The path and what follows each of its slashes."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
+def lookup_by_path(units: DataFrame, values: DataFrame) -> DataFrame:
+    """units: file; values: path, ord. file, path of the best match: the same path, else one that ends with the other at a slash; then both without a notebook anchor; ties: least ord. Equi-joins on suffixes only."""
+    files = units.select("file").distinct().withColumn("full", normalized_path("file"))
+    paths = values.select("path", "ord").withColumn("full", normalized_path("path"))
+    found = None
+    for tier, of in ((0, lambda c: F.col(c)), (2, notebook_base)):
+        u, v = files.select("file", of("full").alias("key")), paths.select("path", "ord", of("full").alias("key"))
+        longer = u.select("file", F.col("key").alias("whole"), F.explode(_suffixes("key")).alias("key")).join(v, "key").select("file", "path", "ord", F.when(F.col("whole") == F.col("key"), tier).otherwise(tier + 1).alias("tier"))
+        shorter = v.select("path", "ord", F.explode(_suffixes("key")).alias("key")).join(u, "key").select("file", "path", "ord", F.lit(tier + 1).alias("tier"))
+        both = longer.unionByName(shorter)
+        found = both if found is None else found.unionByName(both)
+    return found.groupBy("file").agg(F.min_by("path", F.struct("tier", "ord")).alias("path"))
 
 
 def suppress_contained(pairs: DataFrame, tolerance: float = 0.05) -> DataFrame:
