@@ -16,7 +16,9 @@ def unique_edges(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): labels spread and jump until none changes; lineage is cut by checkpoint() where a folder is set."""
     cut = checkpointer(edges.sparkSession)
-    both = cut(edges.select("k1", "k2").union(edges.select("k2", "k1")).toDF("u", "v").distinct())
+    # both directions from one pass over the edges: a union would evaluate what makes them twice
+    ways = F.array(F.struct(F.col("k1").alias("u"), F.col("k2").alias("v")), F.struct(F.col("k2").alias("u"), F.col("k1").alias("v")))
+    both = cut(edges.select(F.inline(ways)).distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
         near = both.join(labels.toDF("v", "lv"), "v").groupBy("u").agg(F.min("lv").alias("near"))
