@@ -103,13 +103,25 @@ def idf_weights(df: DataFrame, total: int) -> DataFrame:
 
 
 def tfidf_pairs(units: DataFrame, threshold: float = 0.7, k: int = 3, cap: int | None = None) -> DataFrame:
-    """Weighted set Jaccard of shingles."""
+    """Weighted set Jaccard of shingles. Pairs share a shingle within the cap; sim is over whole sets.
+
+    Candidates share a shingle of both prefixes: those from which on a unit's weights, rarest shingle first, still
+    add up to the threshold's share of its total.
+    """
     sh = unit_shingles(units, k)
-    weighted = sh.join(idf_weights(document_frequency(sh), units.count()), "shingle")
+    df = document_frequency(sh)
+    weighted = sh.join(df.join(idf_weights(df, units.count()), "shingle"), "shingle")
     totals = weighted.groupBy("id").agg(F.sum("w").alias("total"))
-    pairs = _candidates(sh.select(F.col("shingle").alias("key"), "id", F.col("token_count").alias("size")), threshold, cap)
-    both = pairs.join(weighted.select(F.col("id").alias("i"), "shingle", "w"), "i").join(sh.select(F.col("id").alias("j"), "shingle"), ["j", "shingle"])
-    common = both.groupBy("i", "j").agg(F.sum("w").alias("common"))
+    rest = F.sum("w").over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = weighted.withColumn("rest", rest).join(totals, "id").where(F.col("rest") >= (threshold - 1e-9) * F.col("total")).where("df >= 2")
+    met = met.select("shingle", "id", F.col("token_count").alias("t"), "total", "rest")
+    a, b = met.toDF("shingle", "i", "t1", "w1", "r1"), met.toDF("shingle", "j", "t2", "w2", "r2")
+    # the first shingle that two units share has all that they share from there on
+    fits = F.least("r1", "r2") >= (threshold / (1 + threshold) - 1e-9) * (F.col("w1") + F.col("w2"))
+    pairs = a.join(b, "shingle").where("i < j").where(size_filters(threshold) & fits).select("i", "j").distinct()
+    usable = F.col("df") >= 2 if cap is None else F.col("df").between(2, cap)
+    both = pairs.join(weighted.select(F.col("id").alias("i"), "shingle", "w", usable.alias("usable")), "i").join(sh.select(F.col("id").alias("j"), "shingle"), ["j", "shingle"])
+    common = both.groupBy("i", "j").agg(F.sum("w").alias("common"), F.max("usable").alias("usable")).where("usable").drop("usable")
     joined = common.join(totals.toDF("i", "w1"), "i").join(totals.toDF("j", "w2"), "j")
     return joined.select("i", "j", (F.col("common") / (F.col("w1") + F.col("w2") - F.col("common"))).alias("sim")).where(F.col("sim") >= threshold)
 

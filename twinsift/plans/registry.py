@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..operators import baseline, calibration, edits, families, modules, pairs, reports, scan, similarity
 from ..sources import changes, code
 
-MIN_TOKENS, CAP, RARE = 15, 200, 20
+MIN_TOKENS, CAP, RARE = 15, 200, 20  # CAP: of the SQL only; the queries take similarity.postings_cap()
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -46,7 +46,8 @@ p AS (SELECT i, j, inter, a.n AS n1, b.n AS n2, CAST(inter AS DOUBLE) / (a.n + b
 
 
 def _pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    return similarity.jaccard_pairs(_units(spark, sf_dir), threshold, cap=CAP).select("i", "j", "inter", F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"), "sim")
+    units = _units(spark, sf_dir)
+    return similarity.jaccard_pairs(units, threshold, cap=similarity.postings_cap(units.count())).select("i", "j", "inter", F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"), "sim")
 
 
 @query("WITH " + _P % (0.7, 0.7) + " SELECT i, j, inter, n1, n2, sim FROM p")
@@ -90,7 +91,8 @@ x AS (SELECT i, j, sum(w) AS common FROM c JOIN s a ON a.id = i JOIN s b ON b.id
 SELECT i, j, round(common / (a.total + b.total - common), 6) AS sim FROM x JOIN tot a ON a.id = i JOIN tot b ON b.id = j WHERE common / (a.total + b.total - common) >= 0.7"""
 )
 def tfidf_jaccard_pairs(spark, sf_dir):
-    return similarity.tfidf_pairs(_units(spark, sf_dir), 0.7, cap=CAP).withColumn("sim", F.round("sim", 6))
+    units = _units(spark, sf_dir)
+    return similarity.tfidf_pairs(units, 0.7, cap=similarity.postings_cap(units.count())).withColumn("sim", F.round("sim", 6))
 
 
 @query()
@@ -112,7 +114,8 @@ def calibration_reduction(spark, sf_dir):
 @query("WITH " + _P % (0.7, 0.7) + " SELECT i, j, sim FROM p WHERE i IN (SELECT doc_id FROM labels) OR j IN (SELECT doc_id FROM labels)")
 def candidate_diff_restricted(spark, sf_dir):
     changed = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return similarity.jaccard_pairs(_units(spark, sf_dir), 0.7, cap=CAP, changed=changed).select("i", "j", "sim")
+    units = _units(spark, sf_dir)
+    return similarity.jaccard_pairs(units, 0.7, cap=similarity.postings_cap(units.count()), changed=changed).select("i", "j", "sim")
 
 
 @query("WITH " + _P % (0.7, 0.7) + " SELECT i, j, sim FROM p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 0 AND l.doc_id = i)")
