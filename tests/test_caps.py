@@ -68,3 +68,28 @@ def test_tfidf_pairs_match_brute_force(spark, threshold, cap):
     assert want
     frame = spark.createDataFrame(list(units.items()), "id bigint, tokens array<string>")
     assert {(r.i, r.j) for r in similarity.tfidf_pairs(frame, threshold, cap=cap).collect()} == want
+
+
+def test_large_group_keeps_its_multiset_and_alignment_pairs(spark, folder):
+    assert registry.queries()["multiset_jaccard_pairs"](spark, folder).count() == PAIRS
+    assert registry.queries()["lcs_pairs"](spark, folder).count() == PAIRS
+
+
+@pytest.mark.parametrize(("threshold", "cap"), [(0.3, None), (0.5, 50), (0.7, 30)])
+def test_multiset_pairs_match_brute_force(spark, threshold, cap):
+    units = mixed(60)
+    df = Counter(x for t in units.values() for x in set(t))
+    want, lcs = set(), set()
+    for i, j in itertools.combinations(units, 2):
+        n = (len(units[i]), len(units[j]))
+        low = (Counter(units[i]) & Counter(units[j])).total()
+        if max(n) > 2.5 * min(n) or not any(cap is None or df[x] <= cap for x in set(units[i]) & set(units[j])):
+            continue
+        if low / (sum(n) - low) >= threshold:
+            want.add((i, j))
+        if 2 * similarity.lcs_length(units[i], units[j]) / sum(n) >= threshold:
+            lcs.add((i, j))
+    assert want and lcs
+    frame = spark.createDataFrame(list(units.items()), "id bigint, tokens array<string>")
+    assert {(r.i, r.j) for r in similarity.multiset_pairs(frame, threshold, cap).collect()} == want
+    assert {(r.i, r.j) for r in similarity.alignment_pairs(frame, threshold, cap).collect()} == lcs

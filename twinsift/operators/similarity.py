@@ -76,25 +76,35 @@ def jaccard_pairs(units: DataFrame, threshold: float = 0.7, k: int = 3, cap: int
     return shared.where("usable").select("i", "j", "inter", "n1", "n2", sim.alias("sim")).where(F.col("sim") >= threshold)
 
 
-def _candidates(keys: DataFrame, threshold: float, cap: int | None) -> DataFrame:
-    """keys: key, id, size. Pairs i < j that share a key within the cap."""
-    df = document_frequency(keys, "key").where("df >= 2" if cap is None else f"df between 2 and {cap}").select("key")
-    kept = keys.join(df, "key")
-    a, b = kept.toDF("key", "i", "t1"), kept.toDF("key", "j", "t2")
-    return a.join(b, "key").where("i < j").where(size_filters(threshold)).select("i", "j", "t1", "t2").distinct()
-
-
 def token_counts(units: DataFrame) -> DataFrame:
     return units.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("key")).groupBy("id", "size", "key").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _candidates(counts: DataFrame, threshold: float) -> DataFrame:
+    """counts: id, size, key, c. Pairs i < j whose multisets can reach the threshold, by the prefix filter on occurrences.
+
+    The n-th occurrence of a token is an item of its own, so that the multiset is a set of size items.
+    """
+    items = counts.select("id", "size", "key", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth"))
+    ranked = items.join(items.groupBy("key", "nth").agg(F.count(F.lit(1)).alias("df")), ["key", "nth"])
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key", "nth"))
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1)
+    met = prefix.where("df >= 2").select("key", "nth", "id", "size", (F.col("size") - F.col("place") + 1).alias("rest"))
+    a, b = met.toDF("key", "nth", "i", "t1", "r1"), met.toDF("key", "nth", "j", "t2", "r2")
+    # the first item that two units share has all that they share from there on
+    fits = F.least("r1", "r2") >= F.lit(threshold / (1 + threshold)) * (F.col("t1") + F.col("t2")) - 1e-9
+    return a.join(b, ["key", "nth"]).where("i < j").where(size_filters(threshold) & fits).select("i", "j", "t1", "t2").distinct()
+
+
 def multiset_pairs(units: DataFrame, threshold: float = 0.7, cap: int | None = None) -> DataFrame:
-    """Sum of least counts over sum of greatest."""
+    """Sum of least counts over sum of greatest. Pairs share a token within the cap; sim is over whole multisets."""
     counts = token_counts(units)
-    pairs = _candidates(counts.select("key", "id", "size"), threshold, cap)
-    a, b = counts.select(F.col("id").alias("i"), "key", F.col("c").alias("c1")), counts.select(F.col("id").alias("j"), "key", F.col("c").alias("c2"))
-    low = pairs.join(a, "i").join(b, ["j", "key"]).groupBy("i", "j", "t1", "t2").agg(F.sum(F.least("c1", "c2")).alias("low"))
-    return low.select("i", "j", (F.col("low") / (F.col("t1") + F.col("t2") - F.col("low"))).alias("sim")).where(F.col("sim") >= threshold)
+    pairs = _candidates(counts, threshold)
+    usable = F.col("df") >= 2 if cap is None else F.col("df").between(2, cap)
+    a = counts.join(document_frequency(counts, "key"), "key").select(F.col("id").alias("i"), "key", F.col("c").alias("c1"), usable.alias("usable"))
+    b = counts.select(F.col("id").alias("j"), "key", F.col("c").alias("c2"))
+    low = pairs.join(a, "i").join(b, ["j", "key"]).groupBy("i", "j", "t1", "t2").agg(F.sum(F.least("c1", "c2")).alias("low"), F.max("usable").alias("usable"))
+    return low.where("usable").select("i", "j", (F.col("low") / (F.col("t1") + F.col("t2") - F.col("low"))).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def idf_weights(df: DataFrame, total: int) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..operators import baseline, calibration, edits, families, modules, pairs, reports, scan, similarity
 from ..sources import changes, code
 
-MIN_TOKENS, CAP, RARE = 15, 200, 20  # CAP: of the SQL only; the queries take similarity.postings_cap()
+MIN_TOKENS, CAP, RARE = 15, 200, 20  # CAP, RARE: of the SQL only; the queries take similarity.postings_cap()
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -80,7 +80,8 @@ low AS (SELECT i, j, t1, t2, sum(least(a.c, b.c)) AS low FROM c JOIN m a ON a.id
 
 @query("WITH " + _M + " SELECT i, j, CAST(low AS DOUBLE) / CAST(t1 + t2 - low AS DOUBLE) AS sim FROM low WHERE CAST(low AS DOUBLE) / CAST(t1 + t2 - low AS DOUBLE) >= 0.7")
 def multiset_jaccard_pairs(spark, sf_dir):
-    return similarity.multiset_pairs(_units(spark, sf_dir), 0.7, cap=RARE)
+    units = _units(spark, sf_dir)
+    return similarity.multiset_pairs(units, 0.7, cap=similarity.postings_cap(units.count()))
 
 
 @query(
@@ -97,7 +98,8 @@ def tfidf_jaccard_pairs(spark, sf_dir):
 
 @query()
 def lcs_pairs(spark, sf_dir):
-    return similarity.alignment_pairs(_units(spark, sf_dir), 0.7, cap=RARE)
+    units = _units(spark, sf_dir)
+    return similarity.alignment_pairs(units, 0.7, cap=similarity.postings_cap(units.count()))
 
 
 @query("WITH " + _S + " SELECT g AS shingle, count(*) AS df FROM s GROUP BY g HAVING count(*) > greatest(2, ceil((SELECT count(*) FROM u) * 0.01))")
