@@ -1,9 +1,9 @@
-"""N-gram Jaccard join with an LSH forest over MinHash signatures and exact verification.
+"""N-gram Jaccard join with fixed-depth banded MinHash and exact verification.
 
-Each of TREES trees is a trie of signatures of up to DEPTH values, held as sorted prefixes. Prefixes are
-shortened from the full depth until the chance that a pair at the threshold shares a prefix in some tree
-reaches the target recall. Groups of a shorter prefix contain those of every longer one, so documents are
-linked once, at the depth so found.
+This is not the LSH forest: no signatures are sorted and no prefixes are shortened on data. Each of TREES trees has
+one key, the hash of the first values of its signature. How many is found from constants alone: the largest
+number, DEPTH at most, at which a pair at the threshold shares a key in some tree with the target recall (5 of
+8). Groups of a shorter prefix contain those of every longer one, so documents are linked once, at that depth.
 
 Documents with the same shingle set are one class and enter once. Prefix groups become stars (node, first
 node), never all pairs; components of the stars are the candidate groups. A candidate group is verified in
