@@ -15,6 +15,7 @@ from urllib.parse import urlsplit
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Byte table: A-Z become a-z, every other ASCII byte but digits and a-z a space, bytes of longer characters stay.
 FOLD = bytes(
@@ -80,6 +81,72 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Keys:
+    """Integers that stand for the keys of a table, in the same order, and the way back.
+
+    Integer keys stand for themselves. Keys of any other type (strings, dates) are sorted and numbered in a
+    written table, which is joined where rows go in and come out. Null keys are null integers.
+    """
+
+    def __init__(self, docs: DataFrame, key: str):
+        self.key, self.type, self.ranks = key, docs.schema[key].dataType, None
+        if not isinstance(self.type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            distinct = docs.select(F.col(key).alias("value")).where("value is not null").distinct().orderBy("value")
+            self.ranks = written(distinct.select("value", F.monotonically_increasing_id().alias("rank")), "key-ranks")
+
+    def select(self, docs: DataFrame, *columns) -> DataFrame:
+        """id (bigint) and the columns."""
+        if self.ranks is None:
+            return docs.select(F.col(self.key).cast("bigint").alias("id"), *columns)
+        found = docs.select(F.col(self.key).alias("value"), *columns)
+        rest = [c for c in found.columns if c != "value"]
+        return found.join(self.ranks, "value", "left").select(F.col("rank").alias("id"), *rest)
+
+    def restore(self, df: DataFrame, names: dict[str, str]) -> DataFrame:
+        """df with the integers of each column in names as keys again, under the new name, in the same place."""
+        order = [names.get(c, c) for c in df.columns]
+        for old, new in names.items():
+            if self.ranks is None:
+                back = F.col(old).cast(self.type)
+                df = df.select(*(back.alias(new) if c == old else F.col(c) for c in df.columns))
+            else:
+                kept = [F.col(c) for c in df.columns if c != old]
+                df = df.join(self.ranks.select(F.col("rank").alias(old), F.col("value").alias(f"key of {new}")), old, "left")
+                df = df.select(*kept, F.col(f"key of {new}").alias(new))
+        return df.select(*order)
+
+    def drop(self) -> None:
+        if self.ranks is not None:
+            drop_written(self.ranks)
+
+
+#: A key with more than this share of all rows is hot; there are at most HOT_KEYS of them.
+HOT_KEYS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """Inner equi-join of left with right, where right has one row per key and in n how many rows of left have it.
+
+    Keys with more than 1 / HOT_KEYS of the total rows of left are at most HOT_KEYS rows of right. They are
+    broadcast to where the rows of left lie; only the rest is shuffled, so no task gets the rows of a hot key.
+    """
+    least = max(1, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(n) > least))
+    rest = left.join(F.broadcast(right.where(F.col(n) > least).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.where(F.col(n) <= least).hint("merge"), key))
+
+
 def open_store(uri: str):
     """(pyarrow file system, path) of a shared folder, as executors see it."""
     from pyarrow import fs

@@ -1,15 +1,23 @@
 """Substring deduplication with repeated-phrase automata.
 
-1. Recurring passages are confirmed without shuffling every window: equal windows have equal minimizers (the
-   smallest hash of the short word runs in a window), so only windows whose minimizer stands in two documents
-   are hashed (96 bits) and counted. A window's first document is then known exactly.
-2. Neighbouring windows that start in an earlier document merge into passages. Documents are dealt into shards
-   of bounded size; the passages of a shard are compiled into an Aho-Corasick automaton.
-3. Every document with a passage of its own is streamed through its shard's automaton. A passage covers the words of each occurrence in
-   a document whose key is larger than the first document of every window of the passage.
-
-Null texts have no words; texts shorter than a window lose nothing; rows that repeat a key count as one
-document; a null key counts as the largest.
+1. Every window has a minimizer, the smallest hash of the short word runs in it; equal windows have equal
+   minimizers. Neighbouring windows with one minimizer are a segment. Only segments whose minimizer stands in two
+   documents are kept: no other window can recur.
+2. Confirming: equal segments are aggregated (smallest and largest document), dealt to shards by minimizer, and
+   their windows compared. Neighbouring windows that recur are a passage; its first document is known. A window's
+   segments all lie in one shard, so a shard knows all there is to know about its windows.
+3. Locating: a shard's passages are compiled into one Aho-Corasick automaton over words, and the segments of all
+   documents that were dealt to the shard are streamed through it. An occurrence in a document after the
+   passage's first one is removed. Shards with many segments are split, each split with the same automaton.
+4. The occurrences of a document are joined to its text, and the words that they cover are cut out.
+
+A minimizer with very many different segments (the edges of a common passage) is dealt out by window instead.
+The automaton compares words, not hashes, so nothing is removed on a collision.
+
+Null and empty texts have no words; texts shorter than a window lose nothing; long texts are read whole; rows
+that repeat a key count as one document, each with its own row; a null key counts as the largest; ties cannot
+arise, as documents without a smaller key keep their words; an empty table gives no rows. Columns other than key
+and text are not read, so their names do not matter. Keys of any type that can be sorted are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,12 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, bytes_of, drop_written, grams, written
+from .common import Keys, WordHash, bounded_batches, bytes_of, drop_written, grams, join_hot, written
 
 WINDOW = 13
-RUN = 6
-#: Bytes of passages in one automaton (about 60 bytes of memory each), and of texts that a shard holds.
-SHARD_BYTES, SHARD_TEXT = 1_500_000, 16_000_000
+RUN = 4
+#: Segments of one shard on average, and of one split of a shard at most (about).
+SHARD_ROWS, SPLIT_ROWS = 50_000, 100_000
+#: Different segments of one minimizer before they are cut to windows.
+HOT_TEXTS = 2000
 _NO_ID = (1 << 63) - 1
 
 
@@ -46,139 +56,284 @@ def _words(raw: bytes) -> list[bytes]:
     return raw.split()
 
 
-def cut_passages(starts: list[int], firsts: list[int], window: int) -> list[tuple[int, int, int]]:
-    """(first word, after last word, latest first document) of runs of neighbouring windows."""
-    out: list[list[int]] = []
-    for s, m in sorted(zip(starts, firsts, strict=True)):
-        if out and s == out[-1][1] - window + 1:
-            out[-1][1], out[-1][2] = s + window, max(out[-1][2], m)
-        else:
-            out.append([s, s + window, m])
-    return [tuple(x) for x in out]
-
-
-def _laid_out(column, hashes: WordHash, window: int):
-    """Word hashes of all texts of a batch in a row; the text that each whole window lies in, -1 if it spans two; where each text starts."""
-    texts = [hashes.of(_words(raw)) for raw in bytes_of(column)]
+def _laid_out(texts: list[list[bytes]], hashes: WordHash, window: int):
+    """Word hashes of all texts in a row; the text that each whole window lies in, -1 if it spans two; where each text starts."""
+    coded = [hashes.of(t) for t in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
-    words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    words = np.concatenate(coded) if coded else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     n = max(0, len(words) - window + 1)
     inside = np.where(owner[:n] == owner[len(words) - n :], owner[:n], -1)
     return words, inside, np.cumsum(sizes) - sizes
 
 
-def _minimizers(docs: DataFrame, window: int) -> DataFrame:
+def _heads(inside: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Where a run of neighbours with equal values begins."""
+    if not len(inside):
+        return np.zeros(0, np.int64)
+    new = inside[1:] != inside[:-1]
+    for v in values:
+        new = new | (v[1:] != v[:-1])
+    return np.flatnonzero(np.r_[True, new])
+
+
+def _minimizers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHash()
         for batch in batches:
-            words, inside, _ = _laid_out(batch.column(1), hashes, window)
-            h = window_minimizers(words, window)
-            new = np.flatnonzero(inside >= 0)
-            if len(new):
-                keep = np.r_[True, (h[new[1:]] != h[new[:-1]]) | (inside[new[1:]] != inside[new[:-1]])]
-                new = new[keep]
+            words, inside, _ = _laid_out([_words(raw) for raw in bytes_of(batch.column(1))], hashes, window)
+            h = window_minimizers(words, window, run_words)
+            new = _heads(inside, h)
+            new = new[inside[new] >= 0]
             at = pa.array(inside[new])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(h[new].view(np.int64))], names=["id", "version", "h"])
 
     return docs.mapInArrow(run, "id bigint, version bigint, h bigint")
 
 
-def _candidates(met: DataFrame, window: int) -> DataFrame:
-    """met: id, text, version, marks (minimizers that recur, and whether an earlier document has them)."""
+def _segments(met: DataFrame, window: int, run_words: int) -> DataFrame:
+    """met: id, text, version, marks (the minimizers that recur)."""
 
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHash()
         for batch in batches:
-            words, inside, starts = _laid_out(batch.column(1), hashes, window)
-            h = window_minimizers(words, window)
+            texts = [_words(raw) for raw in bytes_of(batch.column(1))]
+            words, inside, starts = _laid_out(texts, hashes, window)
+            h = window_minimizers(words, window, run_words)
             marks = batch.column(3)
             bounds = marks.offsets.to_numpy()
             bounds = bounds - bounds[0]
-            flat = marks.flatten()
-            names, late = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
-            edge = np.searchsorted(np.maximum.accumulate(inside), np.arange(len(starts) + 1)) if len(inside) else np.zeros(len(starts) + 1, np.int64)
-            found, is_late = [], []
-            for k in range(len(starts)):
+            flat = marks.flatten().to_numpy().view(np.uint64)
+            new = _heads(inside, h)
+            ends = np.append(new[1:], len(inside))  # after the last window of the run
+            ok = inside[new] >= 0
+            new, ends = new[ok], ends[ok]
+            edge = np.searchsorted(inside[new], np.arange(len(texts) + 1))
+            keep = np.zeros(len(new), bool)
+            for k in range(len(texts)):
                 a, b = edge[k : k + 2]
-                own, own_late = names[bounds[k] : bounds[k + 1]], late[bounds[k] : bounds[k + 1]]
-                order = np.argsort(own)
-                own, own_late = own[order], own_late[order]
-                spot = np.minimum(np.searchsorted(own, h[a:b]), len(own) - 1)
-                hit = np.flatnonzero((own[spot] == h[a:b]) & (inside[a:b] == k))
-                found.append(hit + a)
-                is_late.append(own_late[spot[hit]])
-            at = np.concatenate(found) if found else np.zeros(0, np.int64)
-            owner = inside[at] if len(at) else at
+                if b > a:
+                    keep[a:b] = np.isin(h[new[a:b]], flat[bounds[k] : bounds[k + 1]])
+            new, ends = new[keep], ends[keep]
+            owner = inside[new] if len(new) else new
+            first = new - starts[owner] if len(new) else new
+            cut: list[bytes] = []
+            stops = (first + (ends - new) + window - 1).tolist()
+            at = np.searchsorted(owner, np.arange(len(texts) + 1))
+            firsts = first.tolist()
+            for k, t in enumerate(texts):
+                cut += [b" ".join(t[firsts[x] : stops[x]]) for x in range(at[k], at[k + 1])]
             whose = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(whose), batch.column(2).take(whose),
-                    pa.array((at - starts[owner]).astype(np.int32) if len(at) else at.astype(np.int32)),
-                    pa.array(grams(words, window, 1)[at].view(np.int64) if len(at) else at),
-                    pa.array((grams(words, window, 2)[at] >> np.uint64(33)).astype(np.int32) if len(at) else at.astype(np.int32)),
-                    pa.array(np.concatenate(is_late) if len(at) else at.astype(bool), pa.bool_()),
-                ],
-                names=["id", "version", "start", "a", "b", "late"],
-            )
+                [batch.column(0).take(whose), batch.column(2).take(whose), pa.array(first.astype(np.int32)), pa.array(h[new].view(np.int64)), pa.array(cut, pa.binary())],
+                names=["id", "version", "start", "h", "words"],
+            )
+
+    return met.mapInArrow(run, "id bigint, version bigint, start int, h bigint, words binary")
+
+
+def _cut_to_windows(segments: DataFrame, window: int) -> DataFrame:
+    """Each window of each segment as a segment of its own, under its own hash."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            whose, starts, names, out = [], [], [], []
+            for k, (start, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                words = raw.split(b" ")
+                for at in range(len(words) - window + 1):
+                    piece = b" ".join(words[at : at + window])
+                    whose.append(k)
+                    starts.append(start + at)
+                    names.append(xxhash.xxh64_intdigest(piece, 1) - (1 << 63))
+                    out.append(piece)
+            at = pa.array(whose, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["id", "version", "start", "h", "words"])
+
+    return segments.mapInArrow(run, "id bigint, version bigint, start int, h bigint, words binary")
+
+
+def confirmed_passages(segments: list[bytes], lo: np.ndarray, hi: np.ndarray, window: int = WINDOW) -> dict[bytes, int]:
+    """Passages of different segments (lo, hi: smallest and largest document of each): words to first document.
+
+    Windows recur if they stand in two documents. Neighbouring ones of a segment are one passage if the same
+    documents lose them: those after the segment's own first, or all that have the segment.
+    """
+    texts = [s.split(b" ") for s in segments]
+    words, inside, starts = _laid_out(texts, WordHash(), window)
+    at = np.flatnonzero(inside >= 0)
+    if not len(at):
+        return {}
+    owner = inside[at]
+    a, b = grams(words, window, 1)[at], grams(words, window, 2)[at]
+    order = np.lexsort((b, a))
+    new = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    size = np.diff(np.append(new, len(order)))
+    first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    first[order] = np.repeat(np.minimum.reduceat(lo[owner][order], new), size)
+    last[order] = np.repeat(np.maximum.reduceat(hi[owner][order], new), size)
+    recurs = first < last
+    kind = np.where(recurs, 1 + (first < lo[owner]), 0)
+    heads = _heads(owner, kind)
+    ends = np.append(heads[1:], len(at))
+    latest = np.maximum.reduceat(first, heads)
+    keep = kind[heads] > 0
+    out: dict[bytes, int] = {}
+    for x, y, doc in zip(at[heads[keep]].tolist(), at[ends[keep] - 1].tolist(), latest[keep].tolist(), strict=True):
+        k = int(inside[x])
+        out[b" ".join(texts[k][x - int(starts[k]) : y - int(starts[k]) + window])] = doc
+    return out
 
-    return met.mapInArrow(run, "id bigint, version bigint, start int, a bigint, b int, late boolean")
+
+class PassageAutomaton:
+    """Aho-Corasick automaton over words: each word of the passages is one letter, any other word is none of them."""
+
+    def __init__(self, passages: dict[bytes, int]):
+        import ahocorasick
+
+        self.letters: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.sizes, self.first = np.zeros(len(passages), np.int64), np.fromiter(passages.values(), np.int64, len(passages))
+        for k, p in enumerate(passages):
+            words = p.split(b" ")
+            for w in words:
+                if w not in self.letters:
+                    n = len(self.letters) + 1
+                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+            self.sizes[k] = len(words)
+            self.automaton.add_word("".join([self.letters[w] for w in words]), k)
+        if passages:
+            self.automaton.make_automaton()
+
+    def occurrences(self, segments: list[bytes], ids: np.ndarray):
+        """(segment, first word, after last word) of merged occurrences in documents after the passage's first."""
+        none = np.zeros(0, np.int64)
+        if not len(self.sizes) or not segments:
+            return none, none, none
+        get = self.letters.get
+        lines = ["".join([get(w, "\x00") for w in s.split(b" ")]) for s in segments]
+        found = list(self.automaton.iter("\x00".join(lines)))
+        if not found:
+            return none, none, none
+        end, k = np.array(found, np.int64).T
+        bounds = np.cumsum([0, *(len(x) + 1 for x in lines)])
+        seg = np.searchsorted(bounds, end, "right") - 1
+        late = self.first[k] < ids[seg]
+        seg, end, size = seg[late], end[late], self.sizes[k[late]]
+        if not len(seg):
+            return none, none, none
+        a, b = end - size + 1, end + 1
+        order = np.argsort(a, kind="stable")  # places of later segments are larger
+        a, b, seg = a[order], b[order], seg[order]
+        reach = np.maximum.accumulate(b)
+        new = np.flatnonzero(np.r_[True, (a[1:] > reach[:-1]) | (seg[1:] != seg[:-1])])
+        return seg[new], a[new] - bounds[seg[new]], reach[np.append(new[1:], len(a)) - 1] - bounds[seg[new]]
+
+
+def _confirm(window: int):
+    def run(keys, frame):
+        import pandas as pd
+
+        found = confirmed_passages(frame["words"].tolist(), frame["lo"].to_numpy(), frame["hi"].to_numpy(), window)
+        return pd.DataFrame({"shard": np.full(len(found), keys[0], np.int64), "id": np.fromiter(found.values(), np.int64, len(found)), "words": list(found)})
+
+    return run
+
+
+def _locate(batches):
+    """Rows shard, split, kind, id, version, start, words, sorted: the passages (kind 0) of a split, then its segments."""
+    import pyarrow as pa
+
+    group, passages, automaton = None, {}, None
+    for batch in batches:
+        shards, splits, kinds = (batch.column(k).to_numpy() for k in range(3))
+        ids, versions, starts = (batch.column(k).to_numpy() for k in (3, 4, 5))
+        words = batch.column(6).to_pylist()
+        heads = _heads(shards, splits, kinds)
+        out = []
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(shards)], strict=True):
+            here = (shards[a], splits[a])
+            if here != group:
+                group, passages, automaton = here, {}, None
+            if kinds[a] == 0:
+                passages.update(zip(words[a:b], ids[a:b].tolist(), strict=True))
+                continue
+            if automaton is None:
+                automaton = PassageAutomaton(passages)
+            seg, x, y = automaton.occurrences(words[a:b], ids[a:b])
+            out.append((ids[a:b][seg], versions[a:b][seg], starts[a:b][seg] + x, starts[a:b][seg] + y))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["id", "version", "first", "stop"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: key, n_words, n_removed, kept_sha256 (of the kept words joined by one blank), removed (ranges of words). docs is read three times, so it should be a stored table."""
+    spark = docs.sparkSession
+    run_words = min(RUN, window)
+    keys = Keys(docs, key)
     # rows of one key with other texts are told apart by a hash of the text; without such keys it is 0 everywhere
     alone = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     version = F.lit(0).cast("bigint") if alone else F.xxhash64(text)
-    chosen = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text).cast("string").alias("text"), version.alias("version"))
-    marks = written(_minimizers(chosen, window), "phrase-minimizers")
-    recurring = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
-    shared = written(marks.join(recurring, "h").groupBy("id", "version").agg(F.collect_list(F.struct("h", F.expr("id > lo").alias("late"))).alias("marks")), "phrase-shared")
+    chosen = keys.select(docs, F.col(text).cast("string").alias("text"), version.alias("version"))
+    chosen = chosen.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    marks = written(_minimizers(chosen, window, run_words), "phrase-minimizers")
+    recurring = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
+    recurring = written(recurring, "phrase-recurring")
+    shared = join_hot(marks, recurring, "h", marks.count()).groupBy("id", "version").agg(F.collect_set("h").alias("marks"))
+    shared = written(shared, "phrase-shared")
     drop_written(marks)
-    candidates = written(_candidates(chosen.join(shared.hint("merge"), ["id", "version"]).select("id", "text", "version", "marks"), window), "phrase-windows")
+    drop_written(recurring)
+    met = chosen.join(shared.hint("merge"), ["id", "version"]).select("id", "text", "version", "marks")
+    segments = written(_segments(met, window, run_words), "phrase-segments")
     drop_written(shared)
-    firsts = candidates.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    # a window whose minimizer no earlier document has is a first one: only the others need to look it up
-    later = candidates.where("late").select("id", "version", "start", "a", "b").join(firsts, ["a", "b"]).where("lo < id")
-    later = written(later.groupBy("id", "version").agg(F.collect_list(F.struct("start", "lo")).alias("later")), "phrase-later")
-    drop_written(candidates)
-    id_type = docs.schema[key].dataType.simpleString()
-
-    def stream(batches):
-        import ahocorasick
+
+    equal = segments.groupBy("h", "words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    equal = written(equal, "phrase-equal")
+    hot = written(equal.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_TEXTS).select("h"), "phrase-hot")
+    if not hot.isEmpty():
+        single = written(_cut_to_windows(segments.join(hot, "h", "left_semi").select(*segments.columns), window), "phrase-single")
+        parts = (segments.join(hot, "h", "left_anti").select(*segments.columns).unionByName(single))
+        equal_parts = written(equal.join(hot, "h", "left_anti").unionByName(single.groupBy("h", "words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))), "phrase-equal")
+        drop_written(equal)
+        equal = equal_parts
+    else:
+        single, parts = None, segments
+    shards = max(8, -(-segments.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")
+    passages = written(equal.select(shard, "words", "lo", "hi").groupBy("shard").applyInPandas(_confirm(window), "shard bigint, id bigint, words binary"), "phrase-passages")
+    drop_written(equal)
+    # one row per shard, of which there are few: a count of rows cut by SHARD_ROWS
+    splits = F.broadcast(parts.select(shard).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPLIT_ROWS)).alias("splits")))
+    whole = parts.withColumn("shard", shard).join(splits, "shard")
+    rows = whole.select("shard", F.pmod(F.xxhash64("id", "start"), "splits").alias("split"), F.lit(1).alias("kind"), "id", "version", "start", "words")
+    split = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("splits") - 1)).alias("split")
+    heads = passages.join(splits, "shard").select("shard", split, F.lit(0).alias("kind"), "id", F.lit(0).cast("bigint").alias("version"), F.lit(0).alias("start"), "words")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 100_000))
+    dealt = heads.unionByName(rows).repartition(tasks, "shard", "split").sortWithinPartitions("shard", "split", "kind")
+    located = dealt.mapInArrow(_locate, "id bigint, version bigint, first bigint, stop bigint")
+    found = written(located.groupBy("id", "version").agg(F.collect_list(F.struct("first", "stop")).alias("found")), "phrase-found")
+    for x in (segments, passages, hot, *([single] if single is not None else [])):
+        drop_written(x)
+
+    def cut(batches):
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-
-        def shard(rows):
-            """rows: (id, words, passages as (text, latest first document))."""
-            latest: dict[bytes, int] = {}
-            for _, _, passages in rows:
-                latest.update(passages)
-            names = list(latest)
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k, p in enumerate(names):
-                automaton.add_word(p.decode("latin-1"), k)
-            if names:
-                automaton.make_automaton()
-            sizes = [p.count(b" ") - 1 for p in names]
+        for batch in batches:
             n_words, n_removed, shas, removed = [], [], [], []
-            for doc, words, passages in rows:
-                ranges = []
-                if passages:  # a document without a confirmed passage of its own cannot hold another's
-                    line = b" " + b" ".join(words) + b" "
-                    hits = [(e, k) for e, k in automaton.iter(line.decode("latin-1")) if latest[names[k]] < doc]
-                    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                    last = np.searchsorted(blanks, [e for e, _ in hits]).tolist()
-                    for a, b in sorted((e - sizes[k], e) for e, (_, k) in zip(last, hits, strict=True)):
-                        if ranges and a <= ranges[-1][1]:
-                            ranges[-1][1] = max(b, ranges[-1][1])
-                        else:
-                            ranges.append([a, b])
+            for raw, found in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words, ranges = _words(raw), []
+                for a, b in sorted((x["first"], x["stop"]) for x in found or ()):
+                    if ranges and a <= ranges[-1][1]:
+                        ranges[-1][1] = max(b, ranges[-1][1])
+                    else:
+                        ranges.append([a, b])
                 kept, at = [], 0
                 for a, b in ranges:
                     kept += words[at:a]
@@ -188,29 +343,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 n_removed.append(len(words) - len(kept))
                 shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 removed.append([{"start": a, "stop": b} for a, b in ranges])
-            ids = [None if r[0] == _NO_ID else r[0] for r in rows]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(removed, span)],
-                names=[key, "n_words", "n_removed", "kept_sha256", "removed"],
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(removed, span)],
+                names=["id", "n_words", "n_removed", "kept_sha256", "removed"],
             )
 
-        rows, size, texts = [], 0, 0
-        for batch in batches:
-            for doc, raw, found in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = _words(raw)
-                cut = cut_passages([x["start"] for x in found or ()], [x["lo"] for x in found or ()], window)
-                passages = [(b" " + b" ".join(words[a:b]) + b" ", m) for a, b, m in cut]
-                rows.append((doc, words, passages))
-                size += sum(len(p) for p, _ in passages)
-                texts += len(raw)
-                if size >= SHARD_BYTES or texts >= SHARD_TEXT:
-                    yield shard(rows)
-                    rows, size, texts = [], 0, 0
-        if rows:
-            yield shard(rows)
-
-    met = chosen.join(later.hint("merge"), ["id", "version"], "left").select("id", "text", "later")
-    out = met.mapInArrow(stream, f"`{key}` bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
-    out = written(out.withColumn(key, F.col(key).cast(id_type)), "phrase-out")
-    drop_written(later)
+    with_found = chosen.join(found.hint("merge"), ["id", "version"], "left").select("id", "text", "found")
+    out = with_found.mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
+    out = out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")))
+    with bounded_batches(spark):
+        out = written(keys.restore(out, {"id": key}), "phrase-out")
+    drop_written(found)
+    keys.drop()
     return out
