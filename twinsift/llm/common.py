@@ -135,15 +135,15 @@ class Keys:
 HOT_KEYS = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
-    """Inner equi-join of left with right, where right has one row per key and in n how many rows of left have it.
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner equi-join of left with right, where right has one row per key (not null) and in n how many rows of left have it.
 
     Keys with more than 1 / HOT_KEYS of the total rows of left are at most HOT_KEYS rows of right. They are
     broadcast to where the rows of left lie; only the rest is shuffled, so no task gets the rows of a hot key.
     """
     least = max(1, total // HOT_KEYS)
     hot = F.broadcast(right.where(F.col(n) > least))
-    rest = left.join(F.broadcast(right.where(F.col(n) > least).select(key)), key, "left_anti")
+    rest = left.join(F.broadcast(right.where(F.col(n) > least).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return left.join(hot, key).unionByName(rest.join(right.where(F.col(n) <= least).hint("merge"), key))
 
 
