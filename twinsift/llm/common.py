@@ -8,6 +8,7 @@ table is written.
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from urllib.parse import urlsplit
@@ -183,23 +184,66 @@ def remainder_of_id(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
-class WordHash(dict):
-    """64-bit hash of each word, kept for a bounded number of words."""
-
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < self.bound:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_PIECE = 1 << 18
+#: A 64-bit value for each byte; the ASCII white space ends words.
+_VALUES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUES[_SPACE] = 0
+
+
+@functools.cache
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def hash_between(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each word (starts rise): values of its bytes times powers of a base, summed modulo 2^64."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + _PIECE, "right")))
+        high = int(ends[stop - 1])
+        size = max(_PIECE, 1 << (high - low).bit_length())
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_VALUES[buffer[low:high]] * _powers(_BASE, size)[: high - low], out=total[1:])
+        a, b = starts[at:stop] - low, ends[at:stop] - low
+        out[at:stop] = (total[b] - total[a]) * _powers(_BACK, size)[a] + (b - a).astype(np.uint64)
+        at = stop
+    return mixed(out)
+
+
+class Words:
+    """The words of texts in a row, one blank after each: line (bytes), where words start and end in it, their hashes, and sizes (words of each text)."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        blank = _SPACE[raw]
+        before = np.concatenate([[True], blank[:-1]]) if len(raw) else blank
+        firsts = np.flatnonzero(~blank & before)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.sizes = np.diff(np.searchsorted(firsts, bounds))
+        line = raw[~(blank & before)]
+        if len(line) and not _SPACE[line[-1]]:
+            line = np.append(line, np.uint8(32))
+        self.ends = np.flatnonzero(_SPACE[line])
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        if len(line) and not line.flags.writeable:
+            line = line.copy()
+        line[self.ends] = 32
+        self.line = line.tobytes()
+        self.hashes = hash_between(line, self.starts, self.ends)
+
+    def text(self, first: int, stop: int) -> bytes:
+        """Some words (one at least), joined by one blank."""
+        return self.line[self.starts[first] : self.ends[stop - 1]]
+
+    def by_text(self) -> list[np.ndarray]:
+        return np.split(self.hashes, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Keys, WordHash, bytes_of, drop_written, fresh_names, grams, join_hot, mixed, written
+from .common import FOLD, Keys, Words, bytes_of, drop_written, fresh_names, grams, join_hot, mixed, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -152,11 +152,10 @@ def _signed(chosen: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHash()
         for batch in batches:
             his, los, sizes, depths, paths = [], [], [], [], []
-            for raw in bytes_of(batch.column(1)):
-                s = shingle_set(hashes.of(raw.translate(FOLD).split()))
+            for words in Words([raw.translate(FOLD) for raw in bytes_of(batch.column(1))]).by_text():
+                s = shingle_set(words)
                 hi, lo = _set_key(s)
                 his.append(hi)
                 los.append(lo)
@@ -313,12 +312,12 @@ def _shingle_sets(met: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHash()
         for batch in batches:
             keep, out = [], []
             expected = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            for raw, name in zip(bytes_of(batch.column(0)), expected, strict=True):
-                s = shingle_set(hashes.of(raw.translate(FOLD).split()))
+            texts = Words([raw.translate(FOLD) for raw in bytes_of(batch.column(0))]).by_text()
+            for words, name in zip(texts, expected, strict=True):
+                s = shingle_set(words)
                 keep.append(_set_key(s) == name)
                 out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["node", "shingles"]).filter(pa.array(keep, pa.bool_()))

@@ -6,13 +6,13 @@
 2. Confirming: equal segments are aggregated (smallest and largest document), dealt to shards by minimizer, and
    their windows compared. Neighbouring windows that recur are a passage; its first document is known. A window's
    segments all lie in one shard, so a shard knows all there is to know about its windows.
-3. Locating: a shard's passages are compiled into one Aho-Corasick automaton over words, and the segments of all
+3. Locating: a shard's passages are compiled into one Aho-Corasick automaton, and the segments of all
    documents that were dealt to the shard are streamed through it. An occurrence in a document after the
    passage's first one is removed. Shards with many segments are split, each split with the same automaton.
 4. The occurrences of a document are joined to its text, and the words that they cover are cut out.
 
 A minimizer with very many different segments (the edges of a common passage) is dealt out by window instead.
-The automaton compares words, not hashes, so nothing is removed on a collision.
+The automaton compares bytes, not hashes, so nothing is removed on a collision.
 
 Null and empty texts have no words; texts shorter than a window lose nothing; long texts are read whole; rows
 that repeat a key count as one document, each with its own row; a null key counts as the largest; ties cannot
@@ -23,12 +23,13 @@ and text are not read, so their names do not matter. Keys of any type that can b
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keys, WordHash, bounded_batches, bytes_of, drop_written, grams, join_hot, written
+from .common import Keys, Words, bounded_batches, bytes_of, drop_written, grams, join_hot, mixed, written
 
 WINDOW = 13
 RUN = 4
@@ -51,20 +52,11 @@ def window_minimizers(words: np.ndarray, window: int = WINDOW, run: int = RUN) -
     return out
 
 
-def _words(raw: bytes) -> list[bytes]:
-    """Maximal runs without the six ASCII white-space characters."""
-    return raw.split()
-
-
-def _laid_out(texts: list[list[bytes]], hashes: WordHash, window: int):
-    """Word hashes of all texts in a row; the text that each whole window lies in, -1 if it spans two; where each text starts."""
-    coded = [hashes.of(t) for t in texts]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    words = np.concatenate(coded) if coded else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    n = max(0, len(words) - window + 1)
-    inside = np.where(owner[:n] == owner[len(words) - n :], owner[:n], -1)
-    return words, inside, np.cumsum(sizes) - sizes
+def _inside(sizes: np.ndarray, window: int) -> np.ndarray:
+    """The text that each whole window lies in, of texts of these sizes in a row; -1 if it spans two."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    n = max(0, len(owner) - window + 1)
+    return np.where(owner[:n] == owner[len(owner) - n :], owner[:n], -1)
 
 
 def _heads(inside: np.ndarray, *values: np.ndarray) -> np.ndarray:
@@ -81,10 +73,10 @@ def _minimizers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHash()
         for batch in batches:
-            words, inside, _ = _laid_out([_words(raw) for raw in bytes_of(batch.column(1))], hashes, window)
-            h = window_minimizers(words, window, run_words)
+            words = Words(bytes_of(batch.column(1)))
+            inside = _inside(words.sizes, window)
+            h = window_minimizers(words.hashes, window, run_words)
             new = _heads(inside, h)
             new = new[inside[new] >= 0]
             at = pa.array(inside[new])
@@ -93,17 +85,20 @@ def _minimizers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, version bigint, h bigint")
 
 
+def _of_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return mixed(h + text.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def _segments(met: DataFrame, window: int, run_words: int) -> DataFrame:
     """met: id, text, version, marks (the minimizers that recur)."""
 
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHash()
         for batch in batches:
-            texts = [_words(raw) for raw in bytes_of(batch.column(1))]
-            words, inside, starts = _laid_out(texts, hashes, window)
-            h = window_minimizers(words, window, run_words)
+            words = Words(bytes_of(batch.column(1)))
+            inside = _inside(words.sizes, window)
+            h = window_minimizers(words.hashes, window, run_words)
             marks = batch.column(3)
             bounds = marks.offsets.to_numpy()
             bounds = bounds - bounds[0]
@@ -112,21 +107,14 @@ def _segments(met: DataFrame, window: int, run_words: int) -> DataFrame:
             ends = np.append(new[1:], len(inside))  # after the last window of the run
             ok = inside[new] >= 0
             new, ends = new[ok], ends[ok]
-            edge = np.searchsorted(inside[new], np.arange(len(texts) + 1))
-            keep = np.zeros(len(new), bool)
-            for k in range(len(texts)):
-                a, b = edge[k : k + 2]
-                if b > a:
-                    keep[a:b] = np.isin(h[new[a:b]], flat[bounds[k] : bounds[k + 1]])
+            # a mark is one of its own document: both are named by one number
+            whose = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            keep = np.isin(_of_text(h[new], inside[new]), _of_text(flat[bounds[0] : bounds[-1]], whose))
             new, ends = new[keep], ends[keep]
-            owner = inside[new] if len(new) else new
-            first = new - starts[owner] if len(new) else new
-            cut: list[bytes] = []
-            stops = (first + (ends - new) + window - 1).tolist()
-            at = np.searchsorted(owner, np.arange(len(texts) + 1))
-            firsts = first.tolist()
-            for k, t in enumerate(texts):
-                cut += [b" ".join(t[firsts[x] : stops[x]]) for x in range(at[k], at[k + 1])]
+            owner = inside[new]
+            first = new - (np.cumsum(words.sizes) - words.sizes)[owner]
+            places = zip(words.starts[new].tolist(), words.ends[ends + window - 2].tolist(), strict=True)
+            cut = [words.line[x:y] for x, y in places]
             whose = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(whose), batch.column(2).take(whose), pa.array(first.astype(np.int32)), pa.array(h[new].view(np.int64)), pa.array(cut, pa.binary())],
@@ -165,15 +153,15 @@ def confirmed_passages(segments: list[bytes], lo: np.ndarray, hi: np.ndarray, wi
     Windows recur if they stand in two documents. Neighbouring ones of a segment are one passage if the same
     documents lose them: those after the segment's own first, or all that have the segment.
     """
-    texts = [s.split(b" ") for s in segments]
-    words, inside, starts = _laid_out(texts, WordHash(), window)
+    words = Words(segments)
+    inside = _inside(words.sizes, window)
     at = np.flatnonzero(inside >= 0)
     if not len(at):
         return {}
     owner = inside[at]
-    a, b = grams(words, window, 1)[at], grams(words, window, 2)[at]
+    a, b = grams(words.hashes, window, 1)[at], grams(words.hashes, window, 2)[at]
     order = np.lexsort((b, a))
-    new = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    new = _heads(a[order], b[order])
     size = np.diff(np.append(new, len(order)))
     first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
     first[order] = np.repeat(np.minimum.reduceat(lo[owner][order], new), size)
@@ -184,56 +172,60 @@ def confirmed_passages(segments: list[bytes], lo: np.ndarray, hi: np.ndarray, wi
     ends = np.append(heads[1:], len(at))
     latest = np.maximum.reduceat(first, heads)
     keep = kind[heads] > 0
-    out: dict[bytes, int] = {}
-    for x, y, doc in zip(at[heads[keep]].tolist(), at[ends[keep] - 1].tolist(), latest[keep].tolist(), strict=True):
-        k = int(inside[x])
-        out[b" ".join(texts[k][x - int(starts[k]) : y - int(starts[k]) + window])] = doc
-    return out
+    places = zip(words.starts[at[heads[keep]]].tolist(), words.ends[at[ends[keep] - 1] + window - 1].tolist(), strict=True)
+    return dict(zip([words.line[x:y] for x, y in places], latest[keep].tolist(), strict=True))
 
 
 class PassageAutomaton:
-    """Aho-Corasick automaton over words: each word of the passages is one letter, any other word is none of them."""
+    """Aho-Corasick automaton of passages, each with a blank before and after it."""
 
-    def __init__(self, passages: dict[bytes, int]):
+    def __init__(self, passages: list[bytes]):
         import ahocorasick
 
-        self.letters: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.sizes, self.first = np.zeros(len(passages), np.int64), np.fromiter(passages.values(), np.int64, len(passages))
+        self.sizes = np.fromiter((p.count(b" ") + 1 for p in passages), np.int64, len(passages))
         for k, p in enumerate(passages):
-            words = p.split(b" ")
-            for w in words:
-                if w not in self.letters:
-                    n = len(self.letters) + 1
-                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
-            self.sizes[k] = len(words)
-            self.automaton.add_word("".join([self.letters[w] for w in words]), k)
+            self.automaton.add_word(f" {p.decode('latin-1')} ", k)
         if passages:
             self.automaton.make_automaton()
 
-    def occurrences(self, segments: list[bytes], ids: np.ndarray):
-        """(segment, first word, after last word) of merged occurrences in documents after the passage's first."""
+    def occurrences(self, segments: list[bytes]):
+        """(segment, first word, after last word, passage) of all occurrences, by segment and first word."""
         none = np.zeros(0, np.int64)
         if not len(self.sizes) or not segments:
-            return none, none, none
-        get = self.letters.get
-        lines = ["".join([get(w, "\x00") for w in s.split(b" ")]) for s in segments]
-        found = list(self.automaton.iter("\x00".join(lines)))
-        if not found:
-            return none, none, none
-        end, k = np.array(found, np.int64).T
-        bounds = np.cumsum([0, *(len(x) + 1 for x in lines)])
-        seg = np.searchsorted(bounds, end, "right") - 1
-        late = self.first[k] < ids[seg]
-        seg, end, size = seg[late], end[late], self.sizes[k[late]]
-        if not len(seg):
-            return none, none, none
-        a, b = end - size + 1, end + 1
-        order = np.argsort(a, kind="stable")  # places of later segments are larger
-        a, b, seg = a[order], b[order], seg[order]
-        reach = np.maximum.accumulate(b)
-        new = np.flatnonzero(np.r_[True, (a[1:] > reach[:-1]) | (seg[1:] != seg[:-1])])
-        return seg[new], a[new] - bounds[seg[new]], reach[np.append(new[1:], len(a)) - 1] - bounds[seg[new]]
+            return none, none, none, none
+        # two blanks, which no passage has, stand between segments
+        line = b" " + b"  ".join(segments) + b" "
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(line.decode("latin-1"))), np.int64)
+        end, k = found[::2], found[1::2]
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        bounds = np.cumsum([0, *(s.count(b" ") + 2 for s in segments)])  # of blanks
+        after = np.searchsorted(blanks, end)
+        first = after - self.sizes[k]
+        order = np.argsort(first, kind="stable")
+        after, k, first = after[order], k[order], first[order]
+        seg = np.searchsorted(bounds, first, "right") - 1
+        return seg, first - bounds[seg], after - bounds[seg], k
+
+
+def removed_ranges(passages: list[bytes], firsts: np.ndarray, segments: list[bytes], place: np.ndarray, ids: np.ndarray):
+    """passages and their first documents; different segments; the segment and the document of each row.
+
+    (row, first word, after last word) of the merged occurrences in rows whose document is after the passage's first.
+    """
+    seg, a, b, k = PassageAutomaton(passages).occurrences(segments)
+    edge = np.searchsorted(seg, np.arange(len(segments) + 1))
+    count = np.diff(edge)[place]
+    row = np.repeat(np.arange(len(place)), count)
+    hit = np.arange(len(row)) + np.repeat(edge[place] - (np.cumsum(count) - count), count)
+    late = firsts[k[hit]] < ids[row]
+    row, a, b = row[late], a[hit[late]], b[hit[late]]
+    if not len(row):
+        return row, a, b
+    shift = row * (int(b.max()) + 1)  # so that rows follow each other
+    reach = np.maximum.accumulate(b + shift)
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | ((a + shift)[1:] > reach[:-1])])
+    return row[new], a[new], (reach - shift)[np.append(new[1:], len(row)) - 1]
 
 
 def _confirm(window: int):
@@ -250,26 +242,29 @@ def _locate(batches):
     """Rows shard, split, kind, id, version, start, words, sorted: the passages (kind 0) of a split, then its segments."""
     import pyarrow as pa
 
-    group, passages, automaton = None, {}, None
+    def located(held):
+        kinds = np.concatenate([x.column(2).to_numpy() for x in held])
+        ids, versions, starts = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (3, 4, 5))
+        words = pa.chunked_array([x.column(6) for x in held]).combine_chunks()
+        n = int((kinds == 0).sum())
+        equal = words.slice(n).dictionary_encode()
+        row, a, b = removed_ranges(words.slice(0, n).to_pylist(), ids[:n], equal.dictionary.to_pylist(), equal.indices.to_numpy(), ids[n:])
+        at = starts[n:][row].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[n:][row], versions[n:][row], at + a, at + b)], names=["id", "version", "first", "stop"])
+
+    held, group = [], None
     for batch in batches:
-        shards, splits, kinds = (batch.column(k).to_numpy() for k in range(3))
-        ids, versions, starts = (batch.column(k).to_numpy() for k in (3, 4, 5))
-        words = batch.column(6).to_pylist()
-        heads = _heads(shards, splits, kinds)
-        out = []
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(shards)], strict=True):
+        shards, splits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        heads = _heads(shards, splits).tolist()
+        for a, b in zip(heads, [*heads[1:], len(shards)], strict=True):
             here = (shards[a], splits[a])
-            if here != group:
-                group, passages, automaton = here, {}, None
-            if kinds[a] == 0:
-                passages.update(zip(words[a:b], ids[a:b].tolist(), strict=True))
-                continue
-            if automaton is None:
-                automaton = PassageAutomaton(passages)
-            seg, x, y = automaton.occurrences(words[a:b], ids[a:b])
-            out.append((ids[a:b][seg], versions[a:b][seg], starts[a:b][seg] + x, starts[a:b][seg] + y))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["id", "version", "first", "stop"])
+            if held and here != group:
+                yield located(held)
+                held = []
+            group = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield located(held)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -328,7 +323,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch in batches:
             n_words, n_removed, shas, removed = [], [], [], []
             for raw, found in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, ranges = _words(raw), []
+                words, ranges = raw.split(), []  # runs without the six ASCII white-space characters
                 for a, b in sorted((x["first"], x["stop"]) for x in found or ()):
                     if ranges and a <= ranges[-1][1]:
                         ranges[-1][1] = max(b, ranges[-1][1])
