@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from twinsift.llm import decontaminate, exact_dedup, language_id, near_dup, ngram_lm, packing, phrase_dedup, token_files, toxicity, url_filters
-from twinsift.llm.common import FOLD
+from twinsift.llm.common import FOLD, Words
 from twinsift.llm.components import components
 from twinsift.llm.tokens import default_tokenizer
 
@@ -147,11 +147,10 @@ def test_pieces_encode_as_whole_texts(name):
     from twinsift.llm.tokens import PieceEncoder
 
     rng = random.Random(11)
-    letters, odd = "abcdefghijklmnopqrstuvwxyzABCDÀÉßñöøÿ", ["don't", "x2", "Ġ", "</w>", "<|endoftext|>", "é", "co-op", "ﬁ", "İ", "a,", "B.", "日本", "1,5", ",", "."]
+    letters, odd = "abcdefghijklmnopqrstuvwxyzABCDÀÉßñöøÿ", ["don't", "x2", "Ġ", "</w>", "<|endoftext|>", "é", "co-op", "ﬁ", "İ", "a,", "x<|endoftext|>y", "<|ENDOFTEXT|>", "<|startoftext|>", "B.", "日本", "1,5", ",", "."]
     word = lambda: rng.choice(odd) if rng.random() < 0.2 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) + rng.choice(["", "", ",", "."])
     texts = ["", " ", "a  b", "x\ty", *(rng.choice([" ", "\n", ""]) + rng.choice([" ", "\n"]).join(word() for _ in range(rng.randint(1, 400))) for _ in range(300))]
     tok = Tokenizer.from_file(default_tokenizer(name))
-    tok.encode_special_tokens = True
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     for bound in (10, 100_000):
         enc = PieceEncoder(default_tokenizer(name), bound)
@@ -174,14 +173,11 @@ def test_language_model(spark, rows):
     assert model["n"] == sum(len((t or "").split()) + 1 for _, t, *_ in rows)
     assert all(r.n_known == r.n_tokens and r.score > r.base_score for r in got if r.n_tokens > 20)
     mapped = ngram_lm.MappedModel(model)
-    from twinsift.llm.common import WordHash
-
-    # all words of the vocabulary and an unknown one, after a given word, sum to one
-    h = WordHash()
+    # all words of the vocabulary and an unknown one, after two given words, sum to one
     vocab = {w.lower() if w.isascii() else w.encode().lower().decode() for _, t, *_ in rows for w in (t or "").split()}
-    start = h.of([next(iter(sorted(vocab))).encode()])[0]
-    names = [*h.of([v.encode() for v in vocab]), h.of([b"never seen"])[0]]
-    total = sum(10 ** mapped.log10(np.array([start, n], np.uint64))[2][1] for n in names) + 10 ** mapped.log10(np.array([start, ngram_lm.END], np.uint64))[2][1]
+    first = rows[0][1].encode().lower().split()[:2]
+    hashes = Words([b" ".join([*first, *(v.encode() for v in sorted(vocab)), b"never-seen"])]).hashes
+    total = sum(10 ** mapped.log10(np.array([*hashes[:2], n], np.uint64))[2][2] for n in (*hashes[2:], ngram_lm.END))
     assert abs(total - 1) < 1e-6
     empty = ngram_lm.train(docs.where("false"))
     assert all(r.score == 0 for r in ngram_lm.score(docs, empty, keep=("doc_id",)).collect())

@@ -5,7 +5,9 @@ blank. The automaton scans that string once; a hit's end gives word numbers, and
 text as it was. Windows are `` w1 w2 ... wn ``, with blanks at both ends, so hits are whole words.
 
 Null and empty texts have no words and no hits; items without words have no window; an empty benchmark hits
-nothing. Each row of a repeated key is judged alike.
+nothing; an empty table gives no rows. Very long texts are scanned whole. Each row of a repeated key is judged
+alike; keys of any type, null too, are kept as they are. Ties: overlapping hits cover their words once. Columns
+other than key and text are kept (or, in a report, not read), so their names do not matter.
 """
 
 from __future__ import annotations
@@ -102,8 +104,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """One row per row of docs: key, n_words, n_hit (words in any hit), items (sorted strings), spans (character offsets of runs of hit words)."""
     windows, shards = _stored_windows(benchmark, item_key, item_text, window, automaton_bytes)
     id_type = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {id_type}, row bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
-    source = docs.select(F.col(key), F.col(text).cast("string"), F.monotonically_increasing_id().alias("row"))
+    schema = f"key {id_type}, row bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    if shards > 1:  # the numbers of rows must be the same for each automaton
+        source = written(source, "contamination-source")
 
     def scanned(shard: int) -> DataFrame:
         shared = _shard(windows, shard, shards)
@@ -125,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     spans.append([{"start": a, "stop": b} for a, b in spans_of(raw, ranges)] if ranges else [])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)],
-                    names=[key, "row", "n_words", "n_hit", "items", "spans"],
+                    names=["key", "row", "n_words", "n_hit", "items", "spans"],
                 )
 
         return written(source.mapInArrow(run, schema), f"contamination{shard}")
@@ -133,13 +137,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     parts = [scanned(k) for k in range(shards)]
     drop_written(windows)
     if shards == 1:
-        return parts[0].drop("row")
+        return parts[0].drop("row").withColumnRenamed("key", key)
     # several automata: the first one's rows carry the hits of the others
     hit = parts[0]
     for p in parts[1:]:
         other = p.where("n_hit > 0").select("row", F.col("items").alias("i2"), F.col("spans").alias("s2"))
         hit = hit.join(other, "row", "left").select(
-            key, "row", "n_words", "n_hit",
+            "key", "row", "n_words", "n_hit",
             F.array_sort(F.array_union("items", F.coalesce("i2", F.array().cast("array<string>")))).alias("items"),
             F.concat("spans", F.coalesce("s2", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"))).alias("spans"),
         )
@@ -149,15 +153,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
         for batch in batches:
             rows = batch.to_pylist()
-            for r, raw in zip(rows, bytes_of(batch.column(batch.schema.get_field_index("_text"))), strict=True):
+            for r, raw in zip(rows, bytes_of(batch.column(batch.num_columns - 1)), strict=True):
                 r["spans"] = [{"start": a, "stop": b} for a, b in merge_ranges((s["start"], s["stop"]) for s in r["spans"])]
                 text_ = raw.decode("utf-8")
                 r["n_hit"] = sum(len(text_[s["start"] : s["stop"]].encode().translate(FOLD).split()) for s in r["spans"])
-                del r["_text"]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([f for f in batch.schema if f.name != "_text"]))
-
-    again = source.select("row", F.col(text).alias("_text")).join(hit, "row").select(key, "row", "n_words", "n_hit", "items", "spans", "_text")
-    return written(again.mapInArrow(unite, schema), "contamination").drop("row")
+                del r["text"]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([f for f in batch.schema if f.name != "text"]))
+
+    again = source.select("row", "text").join(hit, "row").select("key", "row", "n_words", "n_hit", "items", "spans", "text")
+    out = written(again.mapInArrow(unite, schema), "contamination")
+    for x in (source, *parts):
+        drop_written(x)
+    return out.drop("row").withColumnRenamed("key", key)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:

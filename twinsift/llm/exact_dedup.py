@@ -2,10 +2,16 @@
 
 A text (white space folded) is cut into blocks of a fixed size. The distinct blocks are sorted and numbered;
 then adjacent pairs of numbers are sorted and numbered again, until each document has one number. Equal
-numbers mean equal texts, with no chance of a collision: a number stands for one block or one pair only.
+numbers mean equal texts, with no chance of a collision: a number stands for one block or one pair only. Blocks,
+pairs and groups that very many rows share are few, and their numbers are broadcast.
 
 Blocks meet their numbers over a 64-bit key. Keys that two different blocks share are found when the blocks
 are numbered, and those blocks meet over their text instead. Only DataFrame functions are used.
+
+Null texts count as empty. Very long texts have more blocks and rounds. Ties: of rows with the smallest key of a
+group one stays. Rows repeated with the same key are rows of one group. A null key is kept only if the whole group
+has null keys; keys may be of any type that can be sorted. An empty table gives no rows. Columns other than key
+and text are kept (or, in groups, not read), whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, fresh_names, join_hot, written
 
 BLOCK = 4096
 
@@ -32,8 +38,6 @@ def _blocks(norm, size: int):
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, block_key=F.xxhash64) -> DataFrame:
     """One row per row of docs: key, keep (the smallest key of equal texts), group_size, kept, sha256, row.
 
-    Null texts count as empty. Rows repeated with the same key are rows of one group; one of them is kept.
-    A null key is kept only if the whole group has null keys. An empty table gives no rows.
     block_key can be replaced by a weaker key in tests.
     """
     spark = docs.sparkSession
@@ -50,13 +54,14 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 
     # round 0: sort the distinct blocks, number them
     cut = parts.select(F.explode(_blocks(F.col("norm"), block)).alias("block")).select(block_key("block").alias("k"), "block")
-    distinct = cut.distinct().sortWithinPartitions("k", "block")
-    names = written(distinct.select("k", (F.monotonically_increasing_id() + 1).alias("name")), "exact-blocks")
-    clashing = names.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+    distinct = cut.groupBy("k", "block").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("k", "block")
+    blocks = written(distinct.select("k", "n", (F.monotonically_increasing_id() + 1).alias("name")), "exact-blocks")
+    names = written(blocks.groupBy("k").agg(F.count(F.lit(1)).alias("blocks"), F.min("name").alias("name"), F.sum("n").alias("n")), "exact-keys")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
     flat = per_doc.select("row", F.posexplode("names").alias("pos", "k"), F.size("names").alias("n_blocks"))
-    named = flat.join(clashing.where("n = 1").select("k", "name"), "k", "left").select("row", "pos", "n_blocks", "k", "name")
-    if not clashing.where("n > 1").isEmpty():
-        bad = clashing.where("n > 1").select("k")
+    named = join_hot(flat, names.select("k", "n", F.when(F.col("blocks") == 1, F.col("name")).alias("name")), "k", total).select("row", "pos", "n_blocks", "name")
+    if not names.where("blocks > 1").isEmpty():
+        bad = names.where("blocks > 1").select("k")
         by_text = written(
             cut.distinct().join(bad, "k", "left_semi").sortWithinPartitions("k", "block").select("k", "block", (-F.monotonically_increasing_id() - 1).alias("name2")),
             "exact-clashes",
@@ -81,23 +86,24 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
         )
         pairs = written(pairs, f"exact-pairs{level}")
         numbered = written(
-            pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").select("a", "b", (F.monotonically_increasing_id() + 1).alias("name")),
+            pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("a", "b").select("a", "b", "n", (F.monotonically_increasing_id() + 1).alias("name")),
             f"exact-names{level}",
         )
-        current = written(pairs.join(numbered, ["a", "b"]).select("row", "pos", "n_blocks", "name"), f"exact-level{level}")
+        current = written(join_hot(pairs, numbered, ["a", "b"], pairs.count()).select("row", "pos", "n_blocks", "name"), f"exact-level{level}")
         for x in (pairs, numbered):
             drop_written(x)
         levels.append(current)
         done = done.unionByName(current.where("n_blocks = 1").select("row", F.lit(level).alias("level"), "name"))
         rest = current.where("n_blocks > 1")
     drop_written(names)
+    drop_written(blocks)
 
     ids = written(per_doc.select("row", "id", "sha256").join(done, "row"), "exact-ids")
     for x in (*levels, per_doc):
         drop_written(x)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    groups = ids.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select(
+    groups = written(ids.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    return join_hot(ids, groups, ["level", "name"], ids.count(), "group_size").select(
         F.col("id").alias(key),
         F.col("first.id").alias("keep"),
         "group_size",
@@ -109,15 +115,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. docs is read again, so it should be a stored table."""
-    kept = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("_keep"))
-    found = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("_rep"))
+    keep, sha = fresh_names(docs, "keep", "sha")
+    kept = written(exact_groups(docs, key, text).where("kept").select(F.col(key).alias(keep), F.col("sha256").alias(sha)), "exact-kept")
+    stays = F.col(key).eqNullSafe(F.col(keep))
+    found = docs.join(kept.select(keep).distinct(), stays, "left_semi")
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias(keep))
     if repeated.isEmpty():
         return found
-    # ids that stand in several rows: one row of each text that stays
-    sha = F.sha2(normalised(text), 256)
-    again = docs.join(repeated, F.col(key).eqNullSafe(F.col("_rep")), "left_semi").withColumn("_sha", sha).dropDuplicates([key, "_sha"])
-    kept_sha = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("_keep"), F.col("sha256").alias("_ksha"))
-    again = again.join(kept_sha, F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_ksha")), "left_semi").drop("_sha")
-    once = found.join(repeated, F.col(key).eqNullSafe(F.col("_rep")), "left_anti")
-    return once.unionByName(again)
+    # keys that stand in several rows: one row of each text that stays
+    other = sha + " of row"
+    again = found.join(repeated, stays, "left_semi").withColumn(other, F.sha2(normalised(text), 256)).dropDuplicates([key, other])
+    again = again.join(kept, stays & (F.col(other) == F.col(sha)), "left_semi").drop(other)
+    return found.join(repeated, stays, "left_anti").unionByName(again)

@@ -5,7 +5,10 @@ margins are decoded by loss: the codeword with the least weighted logistic loss
 well it separates the training rows. A small lead over the next codeword is flagged as ambiguous.
 
 Training rows are bounded: about rows_per_language of each language, chosen by a hash of the key; their whole
-texts count. Texts that are null or have no letter are ``und`` with score 0.
+texts count. Texts that are null, empty or have no letter are ``und`` with score 0. Very long texts count whole.
+Ties between languages go to the first by name, and are flagged. Repeated rows are judged alike. With nothing to
+learn from, every text is ``und``; an empty table gives no rows. Other columns are kept or not read, so their
+names do not matter.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, bytes_of, written
+from .common import FOLD, bytes_of, fresh_names, written
 
 FEATURES = 1 << 13
 ROWS_PER_LANGUAGE = 400
@@ -108,7 +111,8 @@ def identify(docs: DataFrame, model: LanguageCodes, text: str = "text", keep: tu
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[k] for k in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, lead double, ambiguous boolean"])
-    chosen = docs.select(*keep, F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("_letters"), F.col(text).cast("string").alias("_text"))
+    letters, raw_text = fresh_names(docs, "letters", "raw")
+    chosen = docs.select(*keep, F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias(letters), F.col(text).cast("string").alias(raw_text))
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +142,8 @@ def keep_identified(docs: DataFrame, model: LanguageCodes, key: str = "doc_id",
     """Rows whose text is in a learned language, with all their columns; what has no letters goes. Decided row by row, in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    letters = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)))
+    (name,) = fresh_names(docs, "letters")
+    letters = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias(name))
 
     def run(batches):
         import pyarrow as pa
@@ -148,10 +153,12 @@ def keep_identified(docs: DataFrame, model: LanguageCodes, key: str = "doc_id",
             real = batch.column(batch.num_columns - 1).to_pylist()
             stays = [False] * len(real)
             raws = bytes_of(batch.column(at))
-            for k, r in enumerate(real):
-                if r and m.languages:
-                    (name,), _, _ = m.decode(features(raws[k])[None])
-                    stays[k] = name != "und"
+            found = [k for k, r in enumerate(real) if r and m.languages]
+            for a in range(0, len(found), 256):
+                some = found[a : a + 256]
+                names, _, _ = m.decode(np.array([features(raws[k]) for k in some]))
+                for k, language in zip(some, names, strict=True):
+                    stays[k] = language != "und"
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)], schema=pa.schema([f for f in batch.schema][:-1])).filter(pa.array(stays, pa.bool_()))
 
     return letters.mapInArrow(run, docs.schema)

@@ -325,12 +325,13 @@ def _shingle_sets(met: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "node bigint, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, text_hash: str | None = None) -> DataFrame:
     """One row per row of docs: key, class_id, n_links, n_copies.
 
     class_id: smallest key among documents that links or equal shingle sets connect (null keys last). n_links:
     different shingle sets within the threshold. n_copies: rows with the same shingle set. Rows without words
-    are classes of their own. docs is read twice, so it should be a stored table.
+    are classes of their own. docs is read twice, so it should be a stored table. text_hash: name of one more
+    column, that tells rows of one key apart.
     """
     spark = docs.sparkSession
     keys = Keys(docs, key)
@@ -374,9 +375,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     member = join_hot(written(member, "near-member"), written(named, "near-named"), "label", classes.count(), "n")
     member = member.select("hi", "lo", "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), "n_copies")
     member = written(member, "near-classed")
-    worded = join_hot(signed.where("size > 0").select("id", "hi", "lo"), member, ["hi", "lo"], signed.count(), "n_copies").select("id", "class_id", "n_links", "n_copies")
-    bare = signed.where("size = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    worded = join_hot(signed.where("size > 0").select("id", "text_hash", "hi", "lo"), member, ["hi", "lo"], signed.count(), "n_copies").select("id", "class_id", "n_links", "n_copies", "text_hash")
+    bare = signed.where("size = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"), "text_hash")
     out = worded.unionByName(bare)
+    out = out.drop("text_hash") if text_hash is None else out.withColumnRenamed("text_hash", text_hash)
     out = written(keys.restore(out, {"id": key, "class_id": "class_id"}), "near-out")
     for x in (signed, classes, verified):
         drop_written(x)
@@ -389,12 +391,12 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Of rows that repeat a key, those that stay are told apart by their text: one row of each text.
     """
-    classes = near_duplicates(docs, key, text, threshold)
-    (name,) = fresh_names(docs, "stay")
-    stay = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(name)).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(name)), "left_semi")
-    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias(name))
+    stays, name = fresh_names(docs, "stays", "hash")
+    classes = near_duplicates(docs, key, text, threshold, name)
+    stay = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(stays), name).distinct()
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(stays)) & (F.xxhash64(F.col(text).cast("string")) == F.col(name)), "left_semi")
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias(stays))
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([key, text])
-    return kept.join(repeated, F.col(key).eqNullSafe(F.col(name)), "left_anti").unionByName(again)
+    again = kept.join(repeated, F.col(key).eqNullSafe(F.col(stays)), "left_semi").dropDuplicates([key, text])
+    return kept.join(repeated, F.col(key).eqNullSafe(F.col(stays)), "left_anti").unionByName(again)

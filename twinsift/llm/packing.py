@@ -1,7 +1,14 @@
 """Best-fit packing of token pieces into sequences, by hierarchical residual packing.
 
 Each partition packs its own pieces best-fit and keeps its nearly full bins. Bins with room left become items
-that groups of partitions pack best-fit again, group after group up a tree. Only (bin, fill) pairs travel.
+that groups of partitions pack best-fit again, group after group up a tree. Only (bin, fill) pairs travel. A
+group with more bins than one task packs is split by hash; at the root the rounds go on, dealt anew, until the
+rest fits one task or a round no longer merges a hundredth of the bins (then hardly any two fit together).
+
+Null and empty texts are a piece of the end id alone (of no id, with length 0, if end_id is None). Very long texts
+are cut into full pieces, of which the first may be shorter. Ties: of equal pieces the first read goes first, of
+equal bins the one opened last. Repeated rows and keys are packed each; keys of any type are kept, null keys stay
+null. An empty table gives no rows. Columns other than key and text are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -57,7 +64,7 @@ def _cut(n: int, capacity: int):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY, cache: int = CACHE_PIECES) -> DataFrame:
-    """One row per piece, packed within its partition: key, piece, start, length, ids_crc32, part, bin, offset, fill."""
+    """One row per piece, packed within its partition: key (under this name), piece, start, length, ids_crc32, part, bin, offset, fill."""
 
     def run(batches):
         import pyarrow as pa
@@ -75,12 +82,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             cols = [list(c) for c in zip(*held, strict=True)]
             held = []
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array([part] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(offset, pa.int64()), pa.array(fill[where], pa.int64())],
-                names=[key, "piece", "start", "length", "ids_crc32", "part", "bin", "offset", "fill"],
+                [pa.array(cols[0], key_type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array([part] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(offset, pa.int64()), pa.array(fill[where], pa.int64())],
+                names=["key", "piece", "start", "length", "ids_crc32", "part", "bin", "offset", "fill"],
             )
 
         enc = encoder(tokenizer, cache)
+        key_type = None
         for batch in batches:
+            key_type = batch.column(0).type
             keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for doc, ids in zip(keys, enc.encode(texts), strict=True):
                 ids = memoryview(ids + tail)
@@ -91,27 +100,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         if held:
             yield pack()
 
-    schema = f"`{key}` bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, bin bigint, offset bigint, fill bigint"
-    return written(docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, schema), "packing-pieces")
+    schema = f"key {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, bin bigint, offset bigint, fill bigint"
+    return written(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema), "packing-pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY, cache: int = CACHE_PIECES) -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
-
-    Null and empty texts are a piece of the end id alone (of no id, with length 0, if end_id is None). Repeated
-    rows are packed each; null keys stay null. An empty table gives no rows.
-    """
+    """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = token_pieces(docs, tokenizer, key, text, end_id, capacity, cache)
     room = capacity - NEARLY_FULL
     left = written(pieces.where(F.col("fill") < room).groupBy("bin").agg(F.first("fill").alias("fill"), F.first("part").alias("grp")), "packing-left")
     top = left.agg(F.max("grp")).first()[0]
     maps = []
     rounds = 0
-    while top is not None and not left.isEmpty():
+    bins = left.count()
+    while top is not None and bins:
         rounds += 1
+        at_root = top < FAN_IN
         grouped = left.withColumn("grp", F.expr(f"grp div {FAN_IN}"))
         sizes = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(HELD)).alias("split"))
-        grouped = grouped.join(sizes, "grp").withColumn("split", F.pmod(F.xxhash64("bin"), "split"))
+        grouped = grouped.join(sizes, "grp").withColumn("split", F.pmod(F.xxhash64(F.lit(rounds), "bin"), "split"))
 
         def merge(keys, frame):
             import pandas as pd
@@ -125,7 +132,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         maps.append(merged.select("bin", "into", "shift"))
         left = merged.where(F.col("fill") < room).groupBy("into").agg(F.first("fill").alias("fill"), F.first("grp").alias("grp")).withColumnRenamed("into", "bin")
         top //= FAN_IN
-        if top == 0:
+        before, bins = bins, left.count()
+        if at_root and (before <= HELD or bins > 0.99 * before):
             break
     total = None
     for later in reversed(maps):
@@ -139,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     else:
         placed = pieces.join(total, "bin", "left")
     out = written(
-        placed.select(key, "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")),
+        placed.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")),
         "packing-out",
     )
     drop_written(pieces)

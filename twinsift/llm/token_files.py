@@ -4,6 +4,11 @@ A stream of integers is cut into blocks. A block stores its minimum and the diff
 the bit width that a percentile of them needs; wider ones go to an exception list (position and whole
 difference). An index holds where each block starts, so that a reader can decode any block alone.
 
+Null and empty texts are the end id alone. Very long texts are one document, in a file of its own size. Ties:
+rows that repeat a key stand beside each other, by text. Null keys come first. No rows, no files. Columns other
+than key and text are not read, so their names do not matter. Keys are stored as integers; keys of another type
+are stored as numbers in their order, counted over the distinct keys but not gapless.
+
 File: magic, then streams (document keys, null flags of keys, document lengths, ids), then the footer (JSON
 with the streams' places) and its length. Files of a partition are in ascending key order, as are partitions.
 """
@@ -18,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_store, put_file, written
+from .common import Keys, fresh_path, open_store, put_file, written
 from .tokens import encoder
 
 MAGIC = b"TSPF1\n"
@@ -136,13 +141,10 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2, partitions: int | None = None) -> DataFrame:
-    """Encode and write; one row per file: part, seq, uri, n_docs, n_ids, in ascending (null first) key order.
-
-    Null texts are empty (the end id alone). Repeated keys stand beside each other. No rows, no files.
-    """
+    """Encode and write; one row per file: part, seq, uri, n_docs, n_ids, in ascending (null first) key order."""
     spark = docs.sparkSession
     uri = fresh_path(spark, "token-files")
-    chosen = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    chosen = Keys(docs, key).select(docs, F.col(text).cast("string").alias("text")).select(F.col("id").alias("key"), "text")
     n = partitions or max(8, docs.rdd.getNumPartitions())
     ordered = chosen.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
 

@@ -2,7 +2,7 @@
 
 A piece ends where the tokenizer's own pre-tokenizer always ends a token: before a single blank or newline
 between other characters, or between a word of Latin letters and the comma or full stop that closes it. Texts
-with other white space, and tokenizers of other kinds, are encoded whole. New pieces of Latin letters alone are
+with other white space or with the name of an added token, and tokenizers of other kinds, are encoded whole. New pieces of Latin letters alone are
 encoded many at a time, joined by blanks, and told apart by the tokens that begin (or end) a word.
 """
 
@@ -51,14 +51,15 @@ def _bare_pieces(text: str) -> list[str] | None:
 
 
 class PieceEncoder:
-    """Encodes texts as little-endian unsigned 32-bit ids. Special tokens in a text are ordinary text."""
+    """Encodes texts as little-endian unsigned 32-bit ids, as the library does with add_special_tokens=False: an added token's name in a text is that token."""
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(names), re.IGNORECASE) if names else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -129,7 +130,8 @@ class PieceEncoder:
             return self._whole(texts)
         if len(self.known) > self.bound:
             self.known.clear()
-        cut = [self.pieces(t) for t in texts]
+        added = self.added
+        cut = [None if added and added.search(t) else self.pieces(t) for t in texts]
         get = self.known.get
         found = [None if p is None else list(map(get, p)) for p in cut]
         holes: list[tuple] = []

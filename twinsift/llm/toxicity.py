@@ -5,8 +5,11 @@ best (chi-squared) are kept; a text is the set of its kept n-grams, each with it
 logistic regression over these is fitted on a bounded number of rows of each class, weighted back to the true
 class shares.
 
-Null and empty texts have no n-grams and get the score of the intercept. Labels are 0 or 1; rows with a null
-label are not learned from; of several labels of one key the largest counts.
+Null and empty texts have no n-grams and get the score of the intercept. Very long texts count whole. Labels are
+0 or 1; rows with a null label are not learned from; of several labels of one key the largest counts. Rows that
+repeat a key are learned from and scored each. Ties in chi-squared go to the smaller n-gram number. Without
+labels of both classes every score is the intercept's; an empty table gives no rows. Other columns are not read,
+so their names do not matter.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, bytes_of, written
+from .common import FOLD, bytes_of, fresh_names, written
 
 BITS, KEPT = 18, 20_000
 ROWS_PER_CLASS = 1500
@@ -139,4 +142,4 @@ def score_toxicity(docs: DataFrame, model: RatioClassifier, text: str = "text",
             scores = [shared.value.score(raw) for raw in bytes_of(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return written(docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema), "toxicity")
+    return written(docs.select(*keep, F.col(text).cast("string").alias(fresh_names(docs, "raw")[0])).mapInArrow(run, schema), "toxicity")

@@ -5,7 +5,12 @@ the lengths that rules have). Expressions meet rules in an equi-join on the firs
 the full digest then confirms, and of the rules that fit the longest wins. Only DataFrame functions are used.
 
 Rules: ``host`` (lower case, no port), ``path`` (compared as it stands) and ``verdict``. Null and malformed
-URLs have an empty host and path and fit no rule; repeated rows are judged alike; no rule means ``allow``.
+URLs have an empty host and path and fit no rule; very long ones are cut and compared whole; repeated rows are
+judged alike; no rule means ``allow``. Ties: of rules of equal length block comes before allow. Empty tables of
+rules or pages give every page the default, or no rows. Other columns of pages are not read, so their names do
+not matter.
+
+A URL that many rows share is judged once and its verdict broadcast, if there are few such URLs.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import join_hot, written
+
 #: Rules up to this many are broadcast (at most some 100 MB); more meet the expressions in a salted shuffle.
 BROADCAST_RULES = 200_000
 SALTS = 16
@@ -26,7 +33,8 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 
 def split_url(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages with _host and _path."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(F.col(url), at + 3, F.length(F.col(url)))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -55,8 +63,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     seen = rules.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
     # path lengths of rules: distinct small integers, bounded by the longest path
     lengths = [int(x) for x in seen["lengths"]]
-    split = split_url(pages, url)
-    urls = split.where("_host <> ''").select("_host", "_path").distinct()
+    split = split_url(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), "url")
+    urls = split.where("_host <> ''").groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"))
     labels = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("_path") >= n, F.expr(f"substring(_path, 1, {n})")) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
@@ -76,9 +84,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         .groupBy("_host", "_path")
         .agg(F.max(F.struct("size", "verdict", "rule")).alias("best"))
     )
-    joined = split.select(F.col(key), "_host", "_path").join(best, ["_host", "_path"], "left")
-    return joined.select(
-        F.col(key),
+    judged = written(urls.join(best, ["_host", "_path"], "left"), "url-verdicts")
+    total = split.count()
+    named = join_hot(split.where("_host <> ''").select("key", "_host", "_path"), judged, ["_host", "_path"], total).select("key", "_host", "_path", "best")
+    bare = split.where("_host = ''").select("key", "_host", "_path", F.lit(None).cast(judged.schema["best"].dataType).alias("best"))
+    return named.unionByName(bare).select(
+        F.col("key").alias(key),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("best.rule").alias("rule"),
