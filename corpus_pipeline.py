@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
 Stages 1 to 4 return the columns of documents; the last returns the placed pieces.
+
+Null, empty and blank texts have no language and go in the first stage, so later stages see only texts with a
+letter. Very long texts are read whole by all stages. Rows that repeat a key are judged each by their own text; of
+equal rows one stays. Ties go to the smallest doc_id. An empty table passes all stages empty. Extra columns are
+kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsift.llm import decontaminate, exact_dedup, language_id, near_dup, packing
-from twinsift.llm.common import bounded_batches, fresh_path, remainder_of_id, table
+from twinsift.llm.common import drop_written, remainder_of_id, table, written
 from twinsift.llm.tokens import default_tokenizer
 
 
@@ -57,11 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = fresh_path(spark, f"stage-{name}")
-        out = stage(spark, docs, sf_dir)
-        with bounded_batches(spark):
-            out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(before)
     return docs
 
 
