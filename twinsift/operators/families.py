@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import shared_folder
+
 
 def unique_edges(edges: DataFrame) -> DataFrame:
     """One row per unordered pair, with its largest similarity."""
@@ -14,7 +16,7 @@ def unique_edges(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node): labels spread and jump until none changes; lineage is cut by checkpoint() where a folder is set."""
+    """node, component (its smallest node): labels spread and jump until none changes; lineage is cut by checkpoint()."""
     cut = checkpointer(edges.sparkSession)
     # both directions from one pass over the edges: a union would evaluate what makes them twice
     ways = F.array(F.struct(F.col("k1").alias("u"), F.col("k2").alias("v")), F.struct(F.col("k2").alias("u"), F.col("k1").alias("v")))
@@ -31,21 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def checkpointer(spark):
-    """Cuts lineage with checkpoint() where a shared folder is set (or the session is local), else keeps rows in memory."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or _set_folder(spark):
-        return lambda d: d.checkpoint()
-    return lambda d: d.persist()
-
-
-def _set_folder(spark) -> bool:
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = "file://" + tempfile.mkdtemp(prefix="twinsift-cc-")
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    return bool(folder)
+    """Cuts lineage with checkpoint(), in the folder that the cluster shares."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return lambda d: d.checkpoint()
 
 
 def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:

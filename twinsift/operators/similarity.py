@@ -1,8 +1,10 @@
 """Similarity joins over a table of units (id, tokens): inverted index, pruning, exact scores.
 
-Candidates come from an equi-join on shingles. Where the threshold allows it (set Jaccard), only a prefix of
-each unit's rarest shingles is joined: two sets with Jaccard >= t share one of the first n - ceil(t n) + 1
-shingles of either in an order of rising frequency. The shared count is then exact over whole sets.
+Every metric compares sets of weighted items: shingles (weight 1 or IDF), or the n-th occurrences of tokens. Items
+are named by 64-bit hashes. Candidates come from an equi-join on the items of prefixes: in an order of rising
+frequency, the items of a unit from which on its weights still add up to the threshold's share of its total. Two
+sets that reach the threshold share an item of both prefixes, and from the first one on all that they share. The
+shared weight is then exact over whole sets, each of which travels as one array.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import shingles
+from .store import stored
 
 
 def postings_cap(total: int, frequency: float = 0.25, least_corpus: int = 30) -> int | None:
@@ -38,73 +41,91 @@ def size_filters(threshold: float, ratio: float = 2.5) -> Column:
     return (high <= ratio * low) & (2.0 * low >= threshold * (F.col("t1") + F.col("t2")))
 
 
-def jaccard_pairs(units: DataFrame, threshold: float = 0.7, k: int = 3, cap: int | None = None, stop: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
-    """i < j, inter, n1, n2, sim. Pairs share a shingle that is neither above cap nor in stop; sim is over whole sets.
+def _by_prefix(index: DataFrame, threshold: float, changed: DataFrame | None = None, weighted: bool = True) -> DataFrame:
+    """i < j, common (weight), w1, w2 (totals) of pairs that reach the threshold and share a usable item.
 
-    changed: ids; only pairs with one of them are made.
+    index: id, t (tokens), item, df, w, usable. changed: ids; only pairs with one of them are made. Arrays of numbers or
+    text are intersected by hashing (structs are not), so a weight stands in the text of its item.
     """
-    all_sh = unit_shingles(units, k)
-    df = document_frequency(all_sh)
-    index = all_sh.join(df, "shingle")
-    usable = F.col("df") >= 2 if cap is None else (F.col("df") >= 2) & (F.col("df") <= cap)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
-    prefix = index.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    # a shared shingle must be usable too; it can stand outside the prefix, so it is looked for in the whole sets
-    met = prefix.where("df >= 2").select("shingle", "id", "n", "token_count")
-    left = met.toDF("shingle", "i", "n1", "t1")
-    right = met.toDF("shingle", "j", "n2", "t2")
+    index = stored(index, "pair-index")
+    after = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("item")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("id")
+    placed = index.select("id", "t", "item", "df", F.sum("w").over(after).alias("rest"), F.sum("w").over(whole).alias("total"))
+    met = placed.where((F.col("df") >= 2) & (F.col("rest") >= (threshold - 1e-9) * F.col("total"))).select("item", "id", "t", "total", "rest")
+    names = lambda k, d: [F.col("item"), *(F.col(c).alias(f"{n}{k}") for c, n in (("id", "u"), ("t", "t"), ("total", "w"), ("rest", "r")))]
+    left, right = met, met
     if changed is not None:
-        marks = changed.select(F.col("id").alias("c")).distinct()
-        flagged = met.join(marks, met["id"] == marks["c"], "left").withColumn("is_changed", F.col("c").isNotNull()).drop("c")
-        left = flagged.where("is_changed").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("token_count").alias("ta"))
-        other = flagged.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("token_count").alias("tb"))
-        swap = F.col("a") < F.col("b")
-        pairs = left.join(other, "shingle").where("a <> b").select(
-            F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"),
-            F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("n1"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("n2"),
-            F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("t1"), F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("t2"),
-        )
+        left = met.join(changed.select("id").distinct(), "id", "left_semi").select(*met.columns)
+    fits = F.least("r1", "r2") >= (threshold / (1 + threshold) - 1e-9) * (F.col("w1") + F.col("w2"))
+    ordered = F.col("u1") < F.col("u2") if changed is None else F.col("u1") != F.col("u2")
+    pairs = left.select(*names(1, left)).join(right.select(*names(2, right)), "item").where(ordered & size_filters(threshold) & fits)
+    pairs = pairs.select(F.least("u1", "u2").alias("i"), F.greatest("u1", "u2").alias("j")).distinct()
+    item = F.concat_ws(":", "item", "w") if weighted else F.col("item")
+    sets = index.groupBy("id").agg(F.collect_list(item).alias("items"), F.collect_list(F.when(F.col("usable"), F.col("item"))).alias("usable"), F.sum("w").alias("w"))
+    both = pairs.join(sets.toDF("i", "a", "ua", "w1"), "i").join(sets.toDF("j", "b", "ub", "w2"), "j").where(F.arrays_overlap("ua", "ub"))
+    shared = F.array_intersect("a", "b")
+    if weighted:
+        common = F.aggregate(shared, F.lit(0.0), lambda total, x: total + F.split_part(x, F.lit(":"), F.lit(2)).cast("double"))
     else:
-        pairs = left.join(right, "shingle").where("i < j").drop("shingle")
-    pairs = pairs.where(size_filters(threshold) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))).distinct()
-    a = index.select("shingle", F.col("id").alias("i"), usable.alias("usable"))
+        common = F.size(shared).cast("double")
+    scored = both.select("i", "j", common.alias("common"), "w1", "w2")
+    return scored.where(F.col("common") / (F.col("w1") + F.col("w2") - F.col("common")) >= threshold)
+
+
+def _usable(cap: int | None) -> Column:
+    return F.col("df") >= 2 if cap is None else F.col("df").between(2, cap)
+
+
+def _shingle_index(units: DataFrame, k: int, cap: int | None, stop: DataFrame | None = None) -> DataFrame:
+    """id, t, item, df, usable of each shingle of each unit."""
+    shingled = stored(unit_shingles(units, k).select("id", F.col("token_count").alias("t"), F.xxhash64("shingle").alias("item")), "pair-items")
+    index = shingled.join(document_frequency(shingled, "item"), "item").withColumn("usable", _usable(cap))
     if stop is not None:
-        a = a.join(F.broadcast(stop.select("shingle", F.lit(True).alias("stopped"))), "shingle", "left").withColumn("usable", F.col("usable") & F.col("stopped").isNull()).drop("stopped")
-    b = all_sh.select("shingle", F.col("id").alias("j"))
-    shared = pairs.join(a, "i").join(b, ["j", "shingle"]).groupBy("i", "j", "n1", "n2").agg(F.count(F.lit(1)).alias("inter"), F.max("usable").alias("usable"))
-    sim = F.col("inter") / (F.col("n1") + F.col("n2") - F.col("inter"))
-    return shared.where("usable").select("i", "j", "inter", "n1", "n2", sim.alias("sim")).where(F.col("sim") >= threshold)
+        stopped = stop.select(F.xxhash64("shingle").alias("item"), F.lit(True).alias("stopped")).distinct()
+        index = index.join(stopped, "item", "left").withColumn("usable", F.col("usable") & F.col("stopped").isNull()).drop("stopped")
+    return index
+
+
+def jaccard_pairs(units: DataFrame, threshold: float = 0.7, k: int = 3, cap: int | None = None, stop: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """i < j, inter, n1, n2, sim. Pairs share a shingle that is neither above cap nor in stop; sim is over whole sets.
+
+    changed: ids; only pairs with one of them are made.
+    """
+    found = _by_prefix(_shingle_index(units, k, cap, stop).withColumn("w", F.lit(1.0)), threshold, changed, weighted=False)
+    inter, n1, n2 = (F.col(c).cast("bigint") for c in ("common", "w1", "w2"))
+    return found.select("i", "j", inter.alias("inter"), n1.alias("n1"), n2.alias("n2"), (inter / (n1 + n2 - inter)).alias("sim"))
 
 
 def token_counts(units: DataFrame) -> DataFrame:
     return units.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("key")).groupBy("id", "size", "key").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _candidates(counts: DataFrame, threshold: float) -> DataFrame:
-    """counts: id, size, key, c. Pairs i < j whose multisets can reach the threshold, by the prefix filter on occurrences.
+def _occurrence_index(units: DataFrame, cap: int | None) -> DataFrame:
+    """id, t, key, item, df, usable: the n-th occurrence of a token in a unit is an item of its own, so that the multiset is a set.
 
-    The n-th occurrence of a token is an item of its own, so that the multiset is a set of size items.
+    Units that have a token are those that have its first occurrence, which alone makes pairs usable.
     """
-    items = counts.select("id", "size", "key", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth"))
-    ranked = items.join(items.groupBy("key", "nth").agg(F.count(F.lit(1)).alias("df")), ["key", "nth"])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key", "nth"))
-    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1)
-    met = prefix.where("df >= 2").select("key", "nth", "id", "size", (F.col("size") - F.col("place") + 1).alias("rest"))
-    a, b = met.toDF("key", "nth", "i", "t1", "r1"), met.toDF("key", "nth", "j", "t2", "r2")
-    # the first item that two units share has all that they share from there on
-    fits = F.least("r1", "r2") >= F.lit(threshold / (1 + threshold)) * (F.col("t1") + F.col("t2")) - 1e-9
-    return a.join(b, ["key", "nth"]).where("i < j").where(size_filters(threshold) & fits).select("i", "j", "t1", "t2").distinct()
+    counts = token_counts(units)
+    items = counts.select("id", F.col("size").alias("t"), "key", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth"))
+    items = stored(items.select("id", "t", "key", "nth", F.xxhash64("key", "nth").alias("item")), "pair-items")
+    index = items.join(document_frequency(items, "item"), "item")
+    return index.select("id", "t", "key", "item", "df", ((F.col("nth") == 1) & _usable(cap)).alias("usable"))
 
 
 def multiset_pairs(units: DataFrame, threshold: float = 0.7, cap: int | None = None) -> DataFrame:
     """Sum of least counts over sum of greatest. Pairs share a token within the cap; sim is over whole multisets."""
-    counts = token_counts(units)
-    pairs = _candidates(counts, threshold)
-    usable = F.col("df") >= 2 if cap is None else F.col("df").between(2, cap)
-    a = counts.join(document_frequency(counts, "key"), "key").select(F.col("id").alias("i"), "key", F.col("c").alias("c1"), usable.alias("usable"))
-    b = counts.select(F.col("id").alias("j"), "key", F.col("c").alias("c2"))
-    low = pairs.join(a, "i").join(b, ["j", "key"]).groupBy("i", "j", "t1", "t2").agg(F.sum(F.least("c1", "c2")).alias("low"), F.max("usable").alias("usable"))
-    return low.where("usable").select("i", "j", (F.col("low") / (F.col("t1") + F.col("t2") - F.col("low"))).alias("sim")).where(F.col("sim") >= threshold)
+    found = _by_prefix(_occurrence_index(units, cap).drop("key").withColumn("w", F.lit(1.0)), threshold, weighted=False)
+    return found.select("i", "j", (F.col("common") / (F.col("w1") + F.col("w2") - F.col("common"))).alias("sim"))
+
+
+def tfidf_multiset_pairs(units: DataFrame, threshold: float = 0.7, cap: int | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """Weighted least counts over weighted greatest. weights: key, w (by default the tokens' IDF); a token without one weighs 1."""
+    index = stored(_occurrence_index(units, cap), "pair-occurrences")
+    if weights is None:
+        weights = idf_weights(document_frequency(index.select("key", "id").distinct(), "key"), units.count())
+    weighted = index.join(weights, "key", "left").withColumn("w", F.coalesce("w", F.lit(1.0))).drop("key")
+    found = _by_prefix(weighted, threshold)
+    return found.select("i", "j", (F.col("common") / (F.col("w1") + F.col("w2") - F.col("common"))).alias("sim"))
 
 
 def idf_weights(df: DataFrame, total: int) -> DataFrame:
@@ -113,27 +134,10 @@ def idf_weights(df: DataFrame, total: int) -> DataFrame:
 
 
 def tfidf_pairs(units: DataFrame, threshold: float = 0.7, k: int = 3, cap: int | None = None) -> DataFrame:
-    """Weighted set Jaccard of shingles. Pairs share a shingle within the cap; sim is over whole sets.
-
-    Candidates share a shingle of both prefixes: those from which on a unit's weights, rarest shingle first, still
-    add up to the threshold's share of its total.
-    """
-    sh = unit_shingles(units, k)
-    df = document_frequency(sh)
-    weighted = sh.join(df.join(idf_weights(df, units.count()), "shingle"), "shingle")
-    totals = weighted.groupBy("id").agg(F.sum("w").alias("total"))
-    rest = F.sum("w").over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = weighted.withColumn("rest", rest).join(totals, "id").where(F.col("rest") >= (threshold - 1e-9) * F.col("total")).where("df >= 2")
-    met = met.select("shingle", "id", F.col("token_count").alias("t"), "total", "rest")
-    a, b = met.toDF("shingle", "i", "t1", "w1", "r1"), met.toDF("shingle", "j", "t2", "w2", "r2")
-    # the first shingle that two units share has all that they share from there on
-    fits = F.least("r1", "r2") >= (threshold / (1 + threshold) - 1e-9) * (F.col("w1") + F.col("w2"))
-    pairs = a.join(b, "shingle").where("i < j").where(size_filters(threshold) & fits).select("i", "j").distinct()
-    usable = F.col("df") >= 2 if cap is None else F.col("df").between(2, cap)
-    both = pairs.join(weighted.select(F.col("id").alias("i"), "shingle", "w", usable.alias("usable")), "i").join(sh.select(F.col("id").alias("j"), "shingle"), ["j", "shingle"])
-    common = both.groupBy("i", "j").agg(F.sum("w").alias("common"), F.max("usable").alias("usable")).where("usable").drop("usable")
-    joined = common.join(totals.toDF("i", "w1"), "i").join(totals.toDF("j", "w2"), "j")
-    return joined.select("i", "j", (F.col("common") / (F.col("w1") + F.col("w2") - F.col("common"))).alias("sim")).where(F.col("sim") >= threshold)
+    """Weighted set Jaccard of shingles. Pairs share a shingle within the cap; sim is over whole sets."""
+    weight = F.greatest(F.lit(0.0), F.log((1.0 + units.count()) / (1.0 + F.col("df"))) + 1.0)
+    found = _by_prefix(_shingle_index(units, k, cap).withColumn("w", weight), threshold)
+    return found.select("i", "j", (F.col("common") / (F.col("w1") + F.col("w2") - F.col("common"))).alias("sim"))
 
 
 def lcs_length(a: list, b: list) -> int:
