@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import baseline, calibration, edits, families, modules, pairs, reports, scan, similarity
+from ..functions import paths
+from ..operators import baseline, calibration, candidates, edits, families, lifecycle, modules, pairs, reports, scan, similarity
 from ..sources import changes, code
 
-MIN_TOKENS, CAP, RARE = 15, 200, 20  # CAP, RARE: of the SQL only; the queries take similarity.postings_cap()
+MIN_TOKENS = 15
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -37,8 +38,9 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _U = rf"u AS (SELECT doc_id AS id, {_T} AS t FROM documents WHERE len({_T}) >= {MIN_TOKENS})"
+_CAP = "(SELECT CASE WHEN count(*) >= 30 THEN greatest(2, ceil(0.25 * count(*))) ELSE count(*) + 2 END FROM u)"
 _S = _U + ", s AS (SELECT DISTINCT id, len(t) AS tc, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], chr(31)))) AS g FROM u), n AS (SELECT id, tc, count(*) AS n FROM s GROUP BY id, tc)"
-_P = _S + f""", df AS (SELECT g FROM s GROUP BY g HAVING count(*) BETWEEN 2 AND {CAP}),
+_P = _S + f""", df AS (SELECT g FROM s GROUP BY g HAVING count(*) BETWEEN 2 AND {_CAP}),
 c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM s a JOIN df USING (g) JOIN s b USING (g) WHERE a.id < b.id AND greatest(a.tc, b.tc) <= 2.5 * least(a.tc, b.tc)),
 x AS (SELECT c.i, c.j, count(*) AS inter FROM c JOIN s a ON a.id = c.i JOIN s b ON b.id = c.j AND a.g = b.g GROUP BY c.i, c.j),
 p AS (SELECT i, j, inter, a.n AS n1, b.n AS n2, CAST(inter AS DOUBLE) / (a.n + b.n - inter) AS sim FROM x JOIN n a ON a.id = i JOIN n b ON b.id = j
@@ -73,7 +75,7 @@ def structural_hash_groups(spark, sf_dir):
 
 
 _M = _U + f""", k AS (SELECT id, len(t) AS tc, unnest(t) AS g, t FROM u), m AS (SELECT id, tc, g, count(*) AS c FROM k GROUP BY id, tc, g),
-df AS (SELECT g FROM m GROUP BY g HAVING count(*) BETWEEN 2 AND {RARE}),
+df AS (SELECT g FROM m GROUP BY g HAVING count(*) BETWEEN 2 AND {_CAP}),
 c AS (SELECT DISTINCT a.id AS i, b.id AS j, a.tc AS t1, b.tc AS t2 FROM m a JOIN df USING (g) JOIN m b USING (g) WHERE a.id < b.id AND greatest(a.tc, b.tc) <= 2.5 * least(a.tc, b.tc) AND 2.0 * least(a.tc, b.tc) >= 0.7 * (a.tc + b.tc)),
 low AS (SELECT i, j, t1, t2, sum(least(a.c, b.c)) AS low FROM c JOIN m a ON a.id = i JOIN m b ON b.id = j AND a.g = b.g GROUP BY i, j, t1, t2)"""
 
@@ -87,7 +89,7 @@ def multiset_jaccard_pairs(spark, sf_dir):
 @query(
     "WITH " + _S + f""", d AS (SELECT g, count(*) AS df FROM s GROUP BY g), t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM u),
 w AS (SELECT g, df, greatest(0.0, ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM d, t), tot AS (SELECT id, sum(w) AS total FROM s JOIN w USING (g) GROUP BY id),
-c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM s a JOIN w ON w.g = a.g AND w.df BETWEEN 2 AND {CAP} JOIN s b ON b.g = a.g WHERE a.id < b.id AND greatest(a.tc, b.tc) <= 2.5 * least(a.tc, b.tc) AND 2.0 * least(a.tc, b.tc) >= 0.7 * (a.tc + b.tc)),
+c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM s a JOIN w ON w.g = a.g AND w.df BETWEEN 2 AND {_CAP} JOIN s b ON b.g = a.g WHERE a.id < b.id AND greatest(a.tc, b.tc) <= 2.5 * least(a.tc, b.tc) AND 2.0 * least(a.tc, b.tc) >= 0.7 * (a.tc + b.tc)),
 x AS (SELECT i, j, sum(w) AS common FROM c JOIN s a ON a.id = i JOIN s b ON b.id = j AND a.g = b.g JOIN w ON w.g = a.g GROUP BY i, j)
 SELECT i, j, round(common / (a.total + b.total - common), 6) AS sim FROM x JOIN tot a ON a.id = i JOIN tot b ON b.id = j WHERE common / (a.total + b.total - common) >= 0.7"""
 )
@@ -96,6 +98,17 @@ def tfidf_jaccard_pairs(spark, sf_dir):
     return similarity.tfidf_pairs(units, 0.7, cap=similarity.postings_cap(units.count())).withColumn("sim", F.round("sim", 6))
 
 
+@query(
+    "WITH " + _M + """, idf AS (SELECT g, greatest(0.0, ln((1.0 + (SELECT count(*) FROM u)) / (1.0 + count(*))) + 1.0) AS w FROM m GROUP BY g),
+tot AS (SELECT id, sum(c * w) AS total FROM m JOIN idf USING (g) GROUP BY id),
+x AS (SELECT c.i, c.j, sum(least(a.c, b.c) * w) AS common FROM c JOIN m a ON a.id = c.i JOIN m b ON b.id = c.j AND a.g = b.g JOIN idf ON idf.g = a.g GROUP BY c.i, c.j)
+SELECT i, j, round(common / (a.total + b.total - common), 6) AS sim FROM x JOIN tot a ON a.id = i JOIN tot b ON b.id = j WHERE common / (a.total + b.total - common) >= 0.7"""
+)
+def tfidf_multiset_pairs(spark, sf_dir):
+    units = _units(spark, sf_dir)
+    return similarity.tfidf_multiset_pairs(units, 0.7, cap=similarity.postings_cap(units.count())).withColumn("sim", F.round("sim", 6))
+
+
 @query()
 def lcs_pairs(spark, sf_dir):
     units = _units(spark, sf_dir)
@@ -376,6 +389,101 @@ def source_scan(spark, sf_dir):
     return scan.scan(files, 0.9, metric="calls", functions_only=True).select("file1", "file2", "sim")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'app/m_' || p_partkey || '.py' WHEN 1 THEN './m_' || p_partkey || '.py' WHEN 2 THEN '/r/app/x/../m_' || p_partkey || '.py' WHEN 3 THEN '../lib/m_' || p_partkey || '.py' ELSE '/else/m_' || p_partkey || '.py' END AS raw FROM part)
+SELECT k, raw, CASE WHEN k % 5 < 3 THEN 'm_' || k || '.py' END AS target, CASE WHEN k % 5 < 3 THEN 'app/m_' || k || '.py' WHEN k % 5 = 3 THEN 'lib/m_' || k || '.py' END AS repo,
+CASE WHEN k % 5 < 3 THEN 'm_' || k || '.py' WHEN k % 5 = 3 THEN 'lib/m_' || k || '.py' ELSE raw END AS display FROM p"""
+)
+def path_coordinates(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = lambda form: F.format_string(form, k)
+    raw = F.when(k % 5 == 0, text("app/m_%d.py")).when(k % 5 == 1, text("./m_%d.py")).when(k % 5 == 2, text("/r/app/x/../m_%d.py")).when(k % 5 == 3, text("../lib/m_%d.py")).otherwise(text("/else/m_%d.py"))
+    return _table(spark, sf_dir, "part").select(k.alias("k"), paths.coordinates(raw, "/r/app/", "/r").alias("c")).select("k", "c.*")
+
+
+def _nation_files(spark, sf_dir, table, column):
+    return _table(spark, sf_dir, table).select(F.format_string("app/n_%d.py", F.col(column)).alias("file"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_acctbal > 9000), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier),
+d AS (SELECT 'union' AS how, n FROM (SELECT n FROM c UNION SELECT n FROM s) UNION ALL SELECT 'intersection', n FROM (SELECT n FROM c INTERSECT SELECT n FROM s) UNION ALL SELECT 'difference', n FROM (SELECT n FROM c EXCEPT SELECT n FROM s)
+UNION ALL SELECT 'symmetric_difference', n FROM ((SELECT n FROM c EXCEPT SELECT n FROM s) UNION (SELECT n FROM s EXCEPT SELECT n FROM c)))
+SELECT how, 'repo' AS basis, 'app/n_' || n || '.py' AS key FROM d UNION ALL SELECT how, 'target', 'n_' || n || '.py' FROM d"""
+)
+def diff_key_sets(spark, sf_dir):
+    rich = _table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.format_string("app/n_%d.py", F.col("c_nationkey")).alias("file"))
+    a, b = paths.diff_keys(rich, "/r/app", "/r"), paths.diff_keys(_nation_files(spark, sf_dir, "supplier", "s_nationkey"), "/r/app", "/r")
+    out = None
+    for how in ("union", "intersection", "difference", "symmetric_difference"):
+        part = paths.combined_keys(a, b, how).select(F.lit(how).alias("how"), "basis", "key")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT c_custkey AS id, 'n_' || c_nationkey || '.py' AS file FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def units_in_diff(spark, sf_dir):
+    keys = paths.diff_keys(_nation_files(spark, sf_dir, "supplier", "s_nationkey").where("false").unionByName(_table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.format_string("app/n_%d.py", F.col("s_nationkey")).alias("file"))), "/r/app", "/r")
+    units = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_string("n_%d.py", F.col("c_nationkey")).alias("file"))
+    return paths.in_diff(units, keys, "/r/app", "/r")
+
+
+@query(
+    """SELECT c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN 'old/a' ELSE 'new/a' END || c_custkey || '.py' AS file1, CASE WHEN c_custkey % 3 = 0 THEN 'old/b' ELSE 'new/b' END || c_custkey || '.py' AS file2,
+CASE WHEN c_custkey % 3 = 0 THEN 'dirty' ELSE 'retained' END AS state FROM customer WHERE c_custkey % 3 <> 0 OR c_nationkey < 5"""
+)
+def baseline_rewrite(spark, sf_dir):
+    """Records of customers: two in three are found again under another folder (by their hashes and names), the rest is dirty or gone."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), "c_nationkey", F.col("c_custkey").cast("string").alias("k"))
+    ends = lambda folder: [F.concat(F.lit(f"{folder}/a"), "k", F.lit(".py")).alias("file1"), F.lit("f").alias("name1"), F.concat(F.lit("x"), "k").alias("hash1"), F.concat(F.lit(f"{folder}/b"), "k", F.lit(".py")).alias("file2"), F.lit("g").alias("name2"), F.concat(F.lit("y"), "k").alias("hash2")]
+    known = lifecycle.BaselineFile(c.select("ord", *ends("old")), target="/r/app", basis="target_relative")
+    clones = c.where("ord % 3 <> 0").select("ord", *ends("app/new"))
+    dirty = c.where("c_nationkey < 5 and ord % 3 = 0").select(F.concat(F.lit("app/old/a"), "k", F.lit(".py")).alias("file"))
+    kept, _ = lifecycle.prune(known, clones, dirty, repo="/r")
+    return kept.select("ord", "file1", "file2", "state")
+
+
+@query(
+    """SELECT c_custkey AS k, CASE WHEN c_nationkey >= 5 THEN CAST(c_nationkey AS BIGINT) END AS number, c_acctbal > 0 AND c_acctbal <= 5000 AS has_share, CASE WHEN c_custkey % 2 = 0 THEN md5(c_name) END AS digest,
+lower(c_mktsegment) IN ('true', '1', 'yes', 'building') AND c_mktsegment <> 'BUILDING' AS flag, least(1000000000, CAST(c_custkey AS BIGINT) * 1000000) AS units FROM customer"""
+)
+def sanitised_settings(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    digest = F.when(F.col("c_custkey") % 2 == 0, F.upper(F.md5(F.col("c_name").cast("binary")))).otherwise(F.lit("no hash"))
+    return c.select(
+        F.col("c_custkey").alias("k"), lifecycle.safe_int_column("c_nationkey", 5).alias("number"), lifecycle.safe_frequency_column(F.col("c_acctbal") / 5000).isNotNull().alias("has_share"),
+        lifecycle.safe_hash_column(digest, (32,)).alias("digest"), lifecycle.safe_bool_column("c_mktsegment").alias("flag"), lifecycle.safe_units_column(F.col("c_custkey").cast("bigint") * 1000000).alias("units"),
+    )
+
+
+_K = """idx AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS g, l_orderkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 1)),
+d AS (SELECT g, count(*) AS df, {changed} AS c FROM idx GROUP BY g), n AS (SELECT count(*) AS n, {total} AS changed FROM orders), f AS (SELECT g, df, c, p_size AS saved FROM d JOIN part ON CAST(p_partkey AS VARCHAR) = g WHERE df >= 2 AND c > 0)"""
+
+
+@query("WITH " + _K.format(changed="count(*)", total="count(*)") + ", ok AS (SELECT g FROM f WHERE greatest(df, saved) <= 30) SELECT DISTINCT a.id AS i, b.id AS j FROM idx a JOIN ok USING (g) JOIN idx b USING (g) WHERE a.id < b.id")
+def calibrated_candidates(spark, sf_dir):
+    """Orders that share a part: parts of size 1 are stop shingles, sizes are the calibrated frequencies."""
+    index, stop, saved, total, _ = _order_index(spark, sf_dir)
+    return candidates.candidate_pairs(index, total, 30, stop, saved, total)
+
+
+@query(
+    "WITH " + _K.format(changed="sum(CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END)", total="sum(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END)")
+    + """, ok AS (SELECT g FROM f, n WHERE greatest(df, saved - greatest(n + 5 - (n - changed) - c, 0)) <= 30)
+SELECT DISTINCT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j FROM idx a JOIN ok USING (g) JOIN idx b USING (g) WHERE a.id <> b.id AND a.id % 4 = 0"""
+)
+def calibrated_diff_candidates(spark, sf_dir):
+    index, stop, saved, total, changed = _order_index(spark, sf_dir)
+    return candidates.candidate_pairs(index, total, 30, stop, saved, total + 5, changed)
+
+
+def _order_index(spark, sf_dir):
+    index = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("shingle"), F.col("l_orderkey").alias("id"))
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("shingle"), F.col("p_size").alias("df"))
+    orders = _table(spark, sf_dir, "orders")
+    return index, part.where("df = 1").select("shingle"), part, orders.count(), orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

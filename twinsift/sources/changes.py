@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 import subprocess
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: One-letter escapes of git's quoted paths, and the bytes they stand for.
+_ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+
+
+def plain_text(quoted: str) -> str:
+    """A path that git wrote with octal and one-letter escapes of its bytes."""
+    one = lambda m: bytes([int(m[1], 8) & 255 if m[1][:1].isdigit() else _ESCAPES.get(m[1], ord(m[1]))])
+    parts = re.split(r"(\\(?:[0-7]{1,3}|.))", quoted)
+    return b"".join(one((p, p[1:])) if k % 2 else p.encode() for k, p in enumerate(parts)).decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def plain_path(quoted: pd.Series) -> pd.Series:
+    return quoted.map(lambda x: None if x is None else plain_text(x))
+
+
 def parse_diff(lines: DataFrame) -> DataFrame:
     """lines: diff (any key), ln, line. Changed ranges of new files: diff, file, lo, hi. A deleted file (/dev/null) has none."""
     w = Window.partitionBy("diff").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("line", r"^\+\+\+ (?:[abiwc]/)?([^\t]*)", 1)
+    quoted_head = F.regexp_extract("line", r'^\+\+\+ "(?:[abiwc]/)?((?:[^"\\]|\\.)*)"', 1)
+    head = F.when(F.startswith("line", F.lit('+++ "')), plain_path(quoted_head)).otherwise(head)
     named = lines.withColumn("file", F.last(F.when(F.startswith("line", F.lit("--- ")), F.lit("/dev/null")).when(F.startswith("line", F.lit("+++ ")), head), True).over(w))
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     lo, n = F.regexp_extract("line", hunk, 1).try_cast("int"), F.coalesce(F.regexp_extract("line", hunk, 2).try_cast("int"), F.lit(1))
@@ -50,6 +71,11 @@ def read_coverage_sqlite(spark: SparkSession, path: str) -> DataFrame:
     return each.where(f"shiftright({byte}, b % 8) & 1 = 1").select("file", (F.col("b") + 1).alias("line"))
 
 
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """file, line of covered lines, from XML by its suffix, else from a database."""
+    return read_coverage_xml(spark, path) if path.lower().endswith(".xml") else read_coverage_sqlite(spark, path)
+
+
 def latest_commit(lines: DataFrame) -> DataFrame:
     """lines: blame (any key), ln, line of git blame --porcelain. blame, commit (8 digits), author, ts, summary of the newest commit; ties: the first. A blame without commits has no row."""
     w = Window.partitionBy("blame").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
