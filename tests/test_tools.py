@@ -117,3 +117,12 @@ def test_pair_texts(spark):
     out = [r.s for r in row.select(reports.suggestion("n", "a", "m", "b").alias("s")).collect()]
     assert "parametrize" in out[0] and "2 varying" in out[0] and "_shared_load" in out[1]
     assert "-y\n+z" in row.select(reports.clone_diff("n", "a", "m", "b").alias("d")).first().d
+
+
+def test_shared_module_lies_in_the_lowest_common_folder(spark):
+    rows = [("a/b/x.py", "a/c/y.py"), ("a/b/x.py", "a/b/x.py"), ("x.py", "a/y.py"), ("a/b/c/x.py", "a/b/y.py"), ("ab/x.py", "a/y.py"), ("/a/x.py", "/a/y.py"), ("../a/x.py", "a/y.py"), (None, "a/y.py")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    found = [r.f for r in df.select(modules.common_folder("p", "q").alias("f")).collect()]
+    assert found == ["a", "a/b", "", "a/b", "", "", "", None]
+    names = {name: df.limit(1).select(modules.shared_module("p", "q", name).alias("f")).first().f for name in ("x.py", "../../x", "class.py", "no name", "")}
+    assert names == {"x.py": "a/x.py", "../../x": "a/x.py", "class.py": "a/_common.py", "no name": "a/_common.py", "": "a/_common.py"}

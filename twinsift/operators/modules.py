@@ -1,8 +1,10 @@
-"""Import graph of modules: edges between known modules, reachability, and the cycle that a new import would close."""
+"""Import graph of modules: edges between known modules, reachability, the cycle that a new import would close, and where two files can share a module."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import keyword
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .families import checkpointer
@@ -42,3 +44,23 @@ def closes_cycle(edges: DataFrame, added: DataFrame) -> DataFrame:
     """Of the new edges (src, dst) those whose dst already reaches src, or that lead to themselves."""
     back = reachable(edges, added.select(F.col("dst").alias("src"))).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     return added.where("src <> dst").join(back, ["src", "dst"], "left_semi").unionByName(added.where("src = dst")).select("src", "dst")
+
+
+def common_folder(file1: str, file2: str) -> Column:
+    """The lowest folder that holds both files (paths below the repository's root, without . or ..); empty: the root, also for a path outside of it."""
+    folders = [F.slice(parts, F.lit(1), F.size(parts) - 1) for parts in (F.split(f, "/") for f in (file1, file2))]
+    same = F.zip_with(*folders, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    differs = F.array_position(same, False)
+    shared = F.array_join(F.slice(folders[0], F.lit(1), F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")), "/")
+    outside = F.lit(False)
+    for f in (file1, file2):
+        outside = outside | F.startswith(f, F.lit("/")) | F.startswith(f, F.lit("../"))
+    return F.when(~outside, shared).when(outside, F.lit(""))
+
+
+def shared_module(file1: str, file2: str, name: str = "_common.py") -> Column:
+    """Path of a module for helpers of both files, in their lowest common folder. A name that is no module's is replaced."""
+    stem = name.rsplit("/", 1)[-1].strip().removesuffix(".py")
+    stem = stem if stem.isidentifier() and not keyword.iskeyword(stem) else "_common"
+    folder = common_folder(file1, file2)
+    return F.when(folder == "", F.lit(f"{stem}.py")).otherwise(F.concat(folder, F.lit(f"/{stem}.py")))

@@ -322,6 +322,19 @@ def module_reachability(spark, sf_dir):
     return modules.reachable(modules.resolved_edges(code.import_rows(files), known))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS a1, p_partkey % 5 AS b1, p_size % 3 AS a2, p_size % 5 AS b2 FROM part),
+f AS (SELECT k, CASE WHEN k % 7 = 0 THEN '' WHEN a1 <> a2 THEN 'src' WHEN b1 <> b2 THEN 'src/m' || a1 ELSE 'src/m' || a1 || '/n' || b1 END AS folder FROM p)
+SELECT k, folder, CASE WHEN folder = '' THEN 'helpers.py' ELSE folder || '/helpers.py' END AS module FROM f"""
+)
+def shared_modules(spark, sf_dir):
+    """Each part as two files in folders named by its key and its size; every seventh second file lies outside the root."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    second = F.when(k % 7 == 0, F.format_string("../m%d/q.py", k)).otherwise(F.format_string("src/m%d/n%d/q.py", size % 3, size % 5))
+    files = _table(spark, sf_dir, "part").select(k.alias("k"), F.format_string("src/m%d/n%d/p.py", k % 3, k % 5).alias("file1"), second.alias("file2"))
+    return files.select("k", modules.common_folder("file1", "file2").alias("folder"), modules.shared_module("file1", "file2", "lib/helpers.py").alias("module"))
+
+
 @query("SELECT o_orderkey AS file, string_agg('|' || coalesce(q, CAST(i AS VARCHAR)), '' ORDER BY i) AS content FROM (SELECT o_orderkey, unnest(range(1, 8)) AS i FROM orders) LEFT JOIN (SELECT l_orderkey, l_linenumber, min(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS q FROM lineitem GROUP BY 1, 2) ON l_orderkey = o_orderkey AND l_linenumber = i GROUP BY o_orderkey")
 def applied_edits(spark, sf_dir):
     files = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.lit("|1|2|3|4|5|6|7").alias("content"))
