@@ -52,3 +52,19 @@ def test_packed_numbers_come_back():
 
     for a in (np.zeros(0, np.uint64), np.array([1, 7, 2**64 - 1], np.uint64), np.array([3, 300, 2], np.uint16)):
         assert (setjoin._unpacked(setjoin._packed(a)) == a).all() and (setjoin._unpacked(setjoin._packed(a, steps=True), steps=True) == a).all()
+
+
+def test_greedy_linkage_of_a_large_family_takes_seconds():
+    import time
+
+    from twinsift.operators import families
+
+    rng = random.Random(3)
+    edges = [(a, b, rng.uniform(0.55, 1)) for a in range(500) for b in range(a + 1, 500)]
+    for linkage in ("complete", "quasi_complete", "average", "medoid"):
+        began = time.process_time()
+        found = families.greedy_clusters(edges, linkage, 0.6, 0.05 if linkage == "quasi_complete" else 0.0)
+        assert time.process_time() - began < 8, linkage  # every pair of members was looked at for every edge
+        assert len(found) == 500 and all(found[c] == c for c in found.values())
+    tied = [(0, 1, 0.9), (0, 2, 0.55), (1, 2, 0.65)]
+    assert set(families.greedy_clusters(tied, "average", 0.6).values()) == {0}
