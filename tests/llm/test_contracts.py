@@ -4,12 +4,13 @@ import collections
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.llm import decontaminate, exact_dedup, language_id, near_dup, ngram_lm, packing, phrase_dedup, token_files, toxicity, url_filters
+from twinsift.llm import decontaminate, exact_dedup, language_id, near_dup, ngram_lm, packing, phrase_dedup, queries, token_files, toxicity, url_filters
 from twinsift.llm.common import FOLD, Words, join_hot
 from twinsift.llm.tokens import default_tokenizer
 
@@ -185,6 +186,37 @@ def test_trigram_model_against_brute_force(spark, monkeypatch):
             assert abs(r.score - sum(math.log10(p(*x[k - 2 : k + 1])) for k in range(2, len(x)))) < 1e-9
 
 
+def test_language_query_keeps_trigrams_seen_once(spark, tmp_path):
+    """Scores of the query are those of the whole modified Kneser-Ney model, with its own discount for trigrams seen once."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(["a", "b", "c", "d", "e"], [6, 4, 3, 2, 2], k=rng.randint(0, 12)))) for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {k: ["<", "<", *t.split(), ">"] for k, t in rows}
+    three, two, plain = (collections.Counter() for _ in range(3))
+    for k, x in tokens.items():
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            three.update(zip(x, x[1:], x[2:], strict=False))
+            plain.update(x[2:])
+    for (_, v, w), c in three.items():
+        two[v, w] += c if v == "<" else 1
+    one = collections.Counter(w for _, w in two)
+    d1, d2, d3 = (ngram_lm._discounts(np.array([list(c.values()).count(k) for k in (1, 2, 3, 4)])) for c in (one, two, three))
+    assert d3[0] < 1 and list(three.values()).count(1) > 20
+
+    def level(c, context, d, low):
+        off = lambda x: d[min(x, 3) - 1] if x else 0
+        return (max(c - off(c), 0) + sum(map(off, context)) * low) / sum(context) if context else low
+
+    def p(u, v, w):
+        low = level(one[w], list(one.values()), d1, 1 / (len(plain) + 1))
+        low = level(two[v, w], [c for (a, _), c in two.items() if a == v], d2, low)
+        return level(three[u, v, w], [c for (a, b, _), c in three.items() if (a, b) == (u, v)], d3, low)
+
+    got = {r.doc_id: r.score for r in queries.op4_ngram_lm(spark, str(tmp_path)).collect()}
+    for k, x in tokens.items():
+        assert abs(got[k] - sum(math.log10(p(*g)) for g in zip(x, x[1:], x[2:], strict=False))) < 1e-9
+
+
 def test_sequences_are_few(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for held in (400_000, 40):

@@ -10,9 +10,9 @@
 
 p(w | u v) = max(c(uvw) - D, 0) / c(uv) + g(uv) p(w | v); p(w | v) likewise from numbers of left contexts (after
 the start of a text, where there is only one, from counts); p(w) likewise, and then the uniform 1 / (V + 1).
-Trigrams seen once are cut off (PRUNE): their discount is 1, so their mass goes to p(w | v), probabilities still
-sum to one, and contexts that have no other trigram need not be stored. They still count as such in c(uv) and in
-the numbers of left contexts. Pairs and words are never cut off.
+All counts are kept, and all discounts come from counts of counts. train(prune=True) makes a smaller model: trigrams
+seen once are cut off, their discount is 1, so their mass goes to p(w | v) and probabilities still sum to one. They
+still count as such in c(uv) and in the numbers of left contexts. Pairs and words are never cut off.
 
 Every text is its words (runs without white space, A-Z lowered) and one end. Null, empty and blank texts are the
 end alone. Very long texts are counted whole. Repeated rows and keys count and are scored each. With no training
@@ -33,8 +33,6 @@ END, BEGIN = np.uint64(0x9D5F3A1E00000001), np.uint64(0x9D5F3A1E00000002)
 HELD = 4_000_000
 #: Tokens that a scoring task looks up at once, but for a longer text.
 SLICE = 200_000
-#: Trigrams seen this often at most are not stored.
-PRUNE = 1
 #: Words that are dealt over all shards: the commonest of a sample, the first rows of each partition, so many in all
 #: but one a partition at least (for balance only; counts are exact).
 SAMPLE_ROWS, COMMON_WORDS = 2000, 256
@@ -183,8 +181,8 @@ def _finish_pairs(uri: str, name: str, v: np.ndarray, w: np.ndarray, key: np.nda
     return rows + _for_words(2, h, sums, n)
 
 
-def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> dict:
-    """Count docs; returns what a scorer needs: the folder of the files, their numbers, and the totals."""
+def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune: bool = True) -> dict:
+    """Count docs; returns what a scorer needs: the folder of the files, their numbers, and the totals. prune: without trigrams seen once."""
     spark = docs.sparkSession
     uri = fresh_path(spark, "ngram-lm")
     partitions = docs.rdd.getNumPartitions()
@@ -263,11 +261,11 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> dic
         del parts
         key, first, (c,) = _summed(_pair(_pair(u, v), w), c)
         u, v, w = u[first], v[first], w[first]
-        stored = c > PRUNE
+        stored = c > int(prune)
         _put_counts(uri, f"three-{keys[0]:06d}", key[stored], c[None, stored], np.uint8)
         rows = [(_TRIGRAMS, _arrays(np.array([(c == k).sum() for k in (1, 2, 3, 4)])))]
         context, _, sums = _summed(_pair(u, v), c, *_levels(c))
-        stored = sums[0] > PRUNE * sums[1]
+        stored = sums[0] > int(prune) * sums[1]
         _put_counts(uri, f"context-{keys[0]:06d}", context[stored], np.array(sums)[:, stored], np.uint16)
         h, _, sums = _summed(w, c)
         rows += _for_words(0, h, sums, n)
@@ -332,7 +330,8 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> dic
     for x in (parts, more, totals):
         drop_written(x)
     total = {k: v or 0 for k, v in total.items()}
-    d3 = (1.0, *_discounts(seen[_TRIGRAMS])[1:])
+    d3 = _discounts(seen[_TRIGRAMS])
+    d3 = (1.0, *d3[1:]) if prune else d3
     return {"uri": uri, "shards": n, "common": common, **total, "d3": d3, "d2": _discounts(seen[_PAIRS]), "d1": _discounts(np.array([total[f"n{k}"] for k in (1, 2, 3, 4)]))}
 
 

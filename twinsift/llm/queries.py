@@ -32,7 +32,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder_of_id("doc_id", 5) == 1
-    model = ngram_lm.train(docs.where(~held_out))
+    model = ngram_lm.train(docs.where(~held_out), prune=False)
     scored = ngram_lm.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
 
