@@ -3,7 +3,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from twinsift.functions import columns as C
-from twinsift.operators import families, pairs, similarity
+from twinsift.operators import families, pairs, scan, similarity
 from twinsift.sources import changes, code
 
 BRANCHES = "def f(a, b):\n    if a and b:\n        for x in a:\n            while x:\n                x -= 1\n    elif b or a:\n        return 1\n    return 0\n"
@@ -67,3 +67,13 @@ def test_columns(spark):
         F.size(C.source_lines(F.lit("a\r\nb\rc\nd"))).alias("n"), C.lenient_int(F.lit("12:0")).alias("i"), C.priority(F.lit(0.95), F.lit(20), F.lit(20), F.lit(6), F.lit(2)).alias("pr"),
     ).first()
     assert (row.cell, row.p, row.out, row.n, row.i, row.pr) == (2, "a/c", None, 4, 12, 114.0)
+
+
+def test_scan_broadcasts_no_units(spark):
+    """A scan holds no table of units in the driver, and hands no pair of files to Python alone."""
+    body = "def run(v):\n    a = open_{h}(v)\n    b = read_{h}(a)\n    if b:\n        c = sort_{h}(b)\n    else:\n        c = list_{h}(a)\n    return done_{h}(c)\n"
+    files = spark.createDataFrame([(f"p{k}.py", body.replace("{h}", str(k // 2))) for k in range(80)], "file string, content string")
+    found = scan.scan(files, 0.9, metric="calls", functions_only=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "FlatMapGroupsInPandas" not in plan
+    assert {frozenset((r.file1, r.file2)) for r in found.collect()} == {frozenset((f"p{k}.py", f"p{k + 1}.py")) for k in range(0, 80, 2)}

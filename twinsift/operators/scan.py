@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..sources import code
 from . import pairs as P
 from . import similarity
-from .families import checkpointer
+from .store import stored
 
 METRICS = ("shingles", "bag", "gapped", "tfidf", "calls")
 _PLACE = ("file", "name", "start", "end", "complexity")
@@ -35,7 +35,7 @@ def scan_pairs(units: DataFrame, threshold: float = 0.9, metric: str = "shingles
     if changed is not None and metric != "shingles":
         found = P.changed_pairs(found, changed)
     side = lambda k, key: units.select(F.col("id").alias(key), *(F.col(c).alias(f"{c}{k}") for c in _PLACE))
-    return similarity.compatible_places(found.select("i", "j", "sim").join(side(1, "i"), "i").join(side(2, "j"), "j"))
+    return similarity.compatible_places(found.select("i", "j", "sim").join(side(1, "i").hint("merge"), "i").join(side(2, "j").hint("merge"), "j"))
 
 
 def ranked(pairs: DataFrame, by: str = "similarity", top: int | None = None) -> DataFrame:
@@ -48,12 +48,11 @@ def ranked(pairs: DataFrame, by: str = "similarity", top: int | None = None) ->
 
 def scan(files: DataFrame, threshold: float = 0.9, metric: str = "shingles", frequency: float = 0.25, suppress: bool = True, **options) -> DataFrame:
     """files: file, content. Pairs of units; options are those of code.units_of(). Files are parsed once, and the units kept."""
-    units = checkpointer(files.sparkSession)(unit_ids(code.harvest(files, **options)))
+    units = stored(unit_ids(code.harvest(files, **options)), "scan-units")
     found = scan_pairs(units, threshold, metric, similarity.postings_cap(units.count(), frequency))
     if not suppress:
         return found
-    kept = P.suppress_contained(found.select(F.concat_ws("|", "i", "j").alias("ord"), "file1", F.col("start1").cast("bigint").alias("start1"), F.col("end1").cast("bigint").alias("end1"), "file2", F.col("start2").cast("bigint").alias("start2"), F.col("end2").cast("bigint").alias("end2"), "sim"))
-    return found.join(kept.select("ord"), F.concat_ws("|", "i", "j") == F.col("ord"), "left_semi")
+    return P.suppress_contained(found.withColumn("ord", F.concat_ws("|", "i", "j"))).drop("ord")
 
 
 def code_lines(files: DataFrame) -> DataFrame:
