@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.functions import annotations, paths
-from twinsift.operators import candidates, checks, lifecycle, similarity
+from twinsift.operators import baseline, candidates, checks, lifecycle, similarity
 from twinsift.sources import changes, code
 
 
@@ -164,3 +164,12 @@ def test_operands_in_one_order():
         assert plain(a) == plain(b)
     for a, b in (("a - b", "b - a"), ("a < b", "b < a"), ("a == b == c", "c == b == a")):
         assert plain(a) != plain(b)
+
+
+def test_many_small_sets_share_a_call(spark):
+    """Sets of one clone and one record each: Python gets them many at a time, not one by one."""
+    rows = spark.range(3000).select(F.col("id").alias("ord"), *(F.concat(F.lit(x), F.col("id").cast("string")).alias(c) for c, x in zip(baseline.ENDS, ("old/a", "f", "x", "old/b", "g", "y"), strict=True)))
+    moved = rows.where("ord % 3 <> 0").withColumns({c: F.replace(c, F.lit("old"), F.lit("new")) for c in ("file1", "file2")})
+    found = baseline.matches(moved, rows)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(k, k) for k in range(3000) if k % 3]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,23 +82,35 @@ def matches(clones: DataFrame, known: DataFrame) -> DataFrame:
     """clone, record: the record that accounts for each clone (both by ord). A record accounts for one clone; clones choose in their order.
 
     Every pass needs an equal fingerprint or an equal pair of hashes, so rows that no chain of these connects cannot
-    compete, and each connected set is matched alone. Ends must not be null.
+    compete, and each connected set is matched alone; Python sees many sets at once. (Equal 64-bit hashes of different
+    keys only put two sets together.) Ends must not be null.
     """
-    rows = fingerprints(clones.select("ord", *ENDS)).withColumn("is_clone", F.lit(True)).unionByName(fingerprints(known.select("ord", *ENDS)).withColumn("is_clone", F.lit(False)))
-    rows = rows.withColumns({"a": F.sha1(F.concat(F.lit("f"), "fingerprint")), "b": F.sha1(F.concat(F.lit("p"), "pure"))})
+    side = lambda rows, is_clone: fingerprints(rows.select(F.col("ord").cast("bigint").alias("ord"), *ENDS)).withColumn("is_clone", F.lit(is_clone))
+    rows = side(clones, True).unionByName(side(known, False))
+    rows = rows.withColumns({"a": F.xxhash64(F.lit("f"), "fingerprint"), "b": F.xxhash64(F.lit("p"), "pure")})
     parts = connected_components(rows.select(F.col("a").alias("k1"), F.col("b").alias("k2")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        left = list(frame[~frame.is_clone].itertuples())
-        out = []
-        for c in frame[frame.is_clone].itertuples():
-            if (r := _pick(left, c)) is not None:
-                left.remove(r)
-                out.append((c.ord, r.ord))
-        return pd.DataFrame(out, columns=["clone", "record"])
-
-    return rows.join(parts.toDF("a", "component"), "a").groupBy("component").applyInPandas(run, "clone bigint, record bigint")
+    row = namedtuple("row", ("ord", "is_clone", *ENDS, "fingerprint", "path_hash", "namespace_hash", "pure"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sets = batch.column(0)
+            all_rows = map(row._make, zip(*(x.to_pylist() for x in sets.flatten().flatten()), strict=True))
+            out = []
+            for n in pc.list_value_length(sets).to_pylist():
+                found = sorted(islice(all_rows, n), key=lambda r: r.ord)
+                left = [r for r in found if not r.is_clone]
+                for c in found:
+                    if c.is_clone and (r := _pick(left, c)) is not None:
+                        left.remove(r)
+                        out.append((c.ord, r.ord))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["clone", "record"])
+
+    grouped = rows.join(parts.toDF("a", "component").hint("merge"), "a").groupBy("component")
+    both = grouped.agg(F.collect_list(F.struct(*row._fields)).alias("rows"), F.max("is_clone").alias("clones"), F.min("is_clone").alias("no records")).where("clones and not `no records`")
+    return both.select("rows").mapInArrow(run, "clone bigint, record bigint")
 
 
 def unknown_clones(clones: DataFrame, known: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.paths import repo_path, target_offsets
 from . import baseline
 from .pairs import suppress_known
+from .store import stored
 
 VERSION, VERSIONS = "1.5", ("1.0", "1.1", "1.2", "1.3", "1.4", "1.5")
 MOST_UNITS, DEEPEST = 1_000_000_000, 20
@@ -285,6 +286,7 @@ def prune(known: BaselineFile, clones: DataFrame, dirty: DataFrame | None = None
     if known.basis.startswith("target") and base_offset:
         cut = lambda c: F.when(F.startswith(F.col(c), F.lit(base_offset + "/")), F.substring(F.col(c), len(base_offset) + 2, 1 << 20)).otherwise(F.col(c))
         decided = decided.withColumns({"file1": cut("file1"), "file2": cut("file2")})
+    decided = stored(decided, "baseline-decided")
     counts = {r["state"]: r["n"] for r in decided.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     return decided.where("state <> 'pruned'"), PruneResult(counts.get("pruned", 0), counts.get("retained", 0), counts.get("dirty", 0))
 
