@@ -68,3 +68,8 @@ def test_imports():
     assert code.imports_of("src/p/q/m.py", text) == ["a.b", "p.q", "p.q.x", "p.r", "p.r.y", "w", "z"]
     assert code.imports_of("m.py", "def (") == []
     assert [code.module_name(p) for p in ("src/p/__init__.py", "a/b.py", "__init__.py")] == ["p", "a.b", ""]
+
+
+def test_parsing_uses_all_cores(spark):
+    files = spark.createDataFrame([(f"{k}.py", "x = 1\n") for k in range(40)], "file string, content string").coalesce(1)
+    assert code.harvest(files).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
