@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -268,3 +269,28 @@ def test_url_rules_tied_empty_and_salted(spark, monkeypatch):
     assert url_filters.filter_urls(pages, rules).orderBy("page_id").collect() == want
     assert url_filters.filter_urls(pages.where("false"), rules).count() == 0
     assert {r.verdict for r in url_filters.filter_urls(pages, rules.where("false")).collect()} == {"allow"}
+
+
+def test_packed_counts_are_whole(tmp_path):
+    rng = np.random.default_rng(5)
+    for size, rows in ((0, 1), (1, 4), (5000, 1), (5000, 4)):
+        keys = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        keys[: size // 50] = keys[0] + np.arange(size // 50, dtype=np.uint64) if size else keys[:0]  # one full bucket
+        keys = np.unique(keys)
+        counts = rng.geometric(0.3, (rows, len(keys))).astype(np.int64) - (rows > 1)
+        counts[0, ::100] = 1 << 40
+        ngram_lm._put_packed(str(tmp_path), f"x{size}-{rows}-000000", keys, counts)
+        mapped = ngram_lm.MappedModel({"uri": str(tmp_path), "shards": 1})
+        ask = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 99, np.uint64)])
+        known = dict(zip(keys.tolist(), counts.T.tolist(), strict=True))
+        found = mapped.packed(f"x{size}-{rows}", np.zeros(len(ask), np.int64), ask, rows)
+        assert found.T.tolist() == [known.get(k, [0] * rows) for k in ask.tolist()]
+
+
+def test_model_files_are_small(spark):
+    rng = np.random.default_rng(6)
+    texts = [(" ".join(map(str, rng.integers(0, 5000, 1000))),) for _ in range(300)]
+    model = ngram_lm.train(spark.createDataFrame(texts, "text string"), shards=1, prune=False)
+    top = Path(model["uri"].removeprefix("file://"))
+    # as many contexts and pairs as trigrams, nearly: 34 bytes a trigram with whole keys and counts
+    assert sum(f.stat().st_size for f in top.iterdir() if not f.name.startswith((".", "words"))) < 24 * 300_000

@@ -6,7 +6,8 @@
    u v. It also knows the different u before each pair v w: numbers of left contexts, which are the counts of the
    pairs. Those of very frequent v are summed in a second step, dealt by w; all others are written at once.
 3. Word shards sum what the pairs say of words: counts, left contexts, and what follows them.
-4. Workers map the files and look up whole batches by binary search.
+4. Workers map the files and look up whole batches by binary search. Keys of trigrams, contexts and pairs are kept
+   whole in six bytes and a bucket, their counts in four bits and a list of the rare ones.
 
 p(w | u v) = max(c(uvw) - D, 0) / c(uv) + g(uv) p(w | v); p(w | v) likewise from numbers of left contexts (after
 the start of a text, where there is only one, from counts); p(w) likewise, and then the uniform 1 / (V + 1).
@@ -38,6 +39,8 @@ SLICE = 200_000
 SAMPLE_ROWS, COMMON_WORDS = 2000, 256
 #: Tokens whose hashes are computed at once.
 PIECE = 1 << 19
+#: Different columns of counts that four bits name in a file; the others are listed.
+NAMED = 15
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -147,6 +150,86 @@ def _put_counts(uri: str, name: str, keys: np.ndarray, counts: np.ndarray, kind)
     put_file(uri, name + "-o", _arrays(odd, counts[:, odd].ravel()))
 
 
+def _put_packed(uri: str, name: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Sorted keys and the counts (rows) of each, whole, in six and a half bytes a key and what is rare.
+
+    A key's first two bytes are its bucket, whose size is kept; the other six are four and two. Four bits name one of the
+    commonest columns of counts, or say that the key's own is listed.
+    """
+    sizes = _small(np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=1 << 16))
+    columns, where, often = np.unique(_columns(counts), return_inverse=True, return_counts=True)
+    top = np.argsort(-often, kind="stable")[:NAMED]
+    number = np.full(len(columns), NAMED, np.uint8)
+    number[top] = np.arange(len(top))
+    code = number[where]
+    example = np.full(len(columns), -1)
+    example[where] = np.arange(len(keys))
+    odd = np.flatnonzero(code == NAMED)
+    halves = np.append(code, np.zeros(len(code) % 2, np.uint8)).reshape(-1, 2)
+    head = np.array([len(keys), sizes.dtype.itemsize], np.int64)
+    low = keys & np.uint64((1 << 48) - 1)
+    put_file(uri, name, b"".join(x.tobytes() for x in (head, (low >> np.uint64(16)).astype(np.uint32), low.astype(np.uint16), sizes, halves[:, 0] | halves[:, 1] << 4)))
+    put_file(uri, name + "-o", _arrays(odd, *map(_small, counts[:, example[top]]), *map(_small, counts[:, odd])))
+
+
+def _columns(counts: np.ndarray) -> np.ndarray:
+    """A number for each column, the same for equal columns of small numbers. One with a large number, which is rare, has a number of its own."""
+    bits = 60 // len(counts)
+    small = (counts < 1 << bits).all(0)
+    out = np.arange(counts.shape[1], dtype=np.uint64) | np.uint64(1 << 63)
+    line = np.zeros(int(small.sum()), np.uint64)
+    for x in counts[:, small]:
+        line = line << np.uint64(bits) | x.astype(np.uint64)
+    out[small] = line
+    return out
+
+
+class Packed:
+    """What _put_packed() wrote, as bytes (data) and a function for those of the list."""
+
+    def __init__(self, data: np.ndarray, listed):
+        self.n, width = data[:16].view(np.int64).tolist() if len(data) else (0, 1)
+        n, at = self.n, 16
+        self.high, at = data[at : at + 4 * n].view(np.uint32), at + 4 * n
+        self.low, at = data[at : at + 2 * n].view(np.uint16), at + 2 * n
+        self.sizes, at = data[at : at + (width << 16)].view(f"u{width}"), at + (width << 16)
+        self.codes, self.listed = data[at:], listed
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 if it is not there."""
+        if not self.n:
+            return np.full(len(keys), -1)
+        bucket = (keys >> np.uint64(48)).astype(np.int64)
+        b = np.cumsum(self.sizes, dtype=np.int64)[bucket]
+        a = b - self.sizes[bucket]
+        end, want = b.copy(), keys & np.uint64((1 << 48) - 1)
+        for _ in range(int((b - a).max(initial=0)).bit_length()):  # until a == b: the first that is not smaller
+            mid = np.minimum((a + b) >> 1, self.n - 1)
+            less = (self._key(mid) < want) & (a < b)
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+        found = a < end
+        found[found] = self._key(a[found]) == want[found]
+        return np.where(found, a, -1)
+
+    def _key(self, at: np.ndarray) -> np.ndarray:
+        return self.high[at].astype(np.uint64) << np.uint64(16) | self.low[at]
+
+    def counts(self, at: np.ndarray, rows: int) -> np.ndarray:
+        """The column of each place."""
+        odd, *values = self.listed()
+        table = np.zeros((rows, NAMED + 1), np.int64)
+        for k, x in enumerate(values[:rows]):
+            table[k, : len(x)] = x
+        code = self.codes[at >> 1] >> ((at & 1) * 4).astype(np.uint8) & 15
+        out = table[:, code]
+        big = np.flatnonzero(code == NAMED)
+        if len(big):
+            place = np.searchsorted(odd, at[big])
+            for k, x in enumerate(values[rows:]):
+                out[k, big] = x[place]
+        return out
+
+
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from how many keys have the counts 1, 2, 3 and 4."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -171,12 +254,18 @@ def _for_words(kind: int, h: np.ndarray, sums: list[np.ndarray], n: int) -> list
     return [(k, _arrays(np.array([kind]), h[a:b], *(_small(x[a:b]) for x in sums), steps=(1,))) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
 
 
-def _finish_pairs(uri: str, name: str, v: np.ndarray, w: np.ndarray, key: np.ndarray, left: np.ndarray, n: int) -> list[tuple]:
-    """Write pairs (sorted by key) and their numbers of left contexts; rows for their words."""
-    _put_counts(uri, name, key, left[None], np.uint8)
+def _finish_pairs(uri: str, name: str, v: np.ndarray, w: np.ndarray, key: np.ndarray, left: np.ndarray, n: int, words=None) -> list[tuple]:
+    """Write pairs (sorted by key) and their numbers of left contexts; rows for their words, with the counts of words (all w, sorted, and more) if they are given."""
+    _put_packed(uri, name, key, left[None])
     rows = [(_PAIRS, _arrays(np.array([(left == k).sum() for k in (1, 2, 3, 4)])))]
     h, _, sums = _summed(w, np.ones(len(w), np.int64))
-    rows += _for_words(1, h, sums, n)
+    if words is None:
+        rows += _for_words(1, h, sums, n)
+    else:
+        names, count = words
+        before = np.zeros(len(names), np.int64)
+        before[np.searchsorted(names, h)] = sums[0]
+        rows += _for_words(0, names, [count, before], n)
     h, _, sums = _summed(v, left, *_levels(left))
     return rows + _for_words(2, h, sums, n)
 
@@ -200,6 +289,7 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
     sample = chosen.select("text", place.alias("place")).where(F.col("place") < max(1, SAMPLE_ROWS // max(1, partitions))).select("text")
     top = sample.mapInArrow(words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON_WORDS).collect()
     common = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    ranked = np.sort(common)
 
     def count(batches):
         import pyarrow as pa
@@ -262,24 +352,23 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
         key, first, (c,) = _summed(_pair(_pair(u, v), w), c)
         u, v, w = u[first], v[first], w[first]
         stored = c > int(prune)
-        _put_counts(uri, f"three-{keys[0]:06d}", key[stored], c[None, stored], np.uint8)
+        _put_packed(uri, f"three-{keys[0]:06d}", key[stored], c[None, stored])
         rows = [(_TRIGRAMS, _arrays(np.array([(c == k).sum() for k in (1, 2, 3, 4)])))]
         context, _, sums = _summed(_pair(u, v), c, *_levels(c))
         stored = sums[0] > int(prune) * sums[1]
-        _put_counts(uri, f"context-{keys[0]:06d}", context[stored], np.array(sums)[:, stored], np.uint16)
+        _put_packed(uri, f"context-{keys[0]:06d}", context[stored], np.array(sums)[:, stored])
         h, _, sums = _summed(w, c)
-        rows += _for_words(0, h, sums, n)
         pair, first, (left,) = _summed(_pair(v, w), np.where(v == BEGIN, c, 1))
         v, w = v[first], w[first]
         often = np.isin(v, common)
-        rows += _finish_pairs(uri, f"two-{keys[0]:06d}", v[~often], w[~often], pair[~often], left[~often], n)
+        rows += _finish_pairs(uri, f"two-{keys[0]:06d}", v[~often], w[~often], pair[~often], left[~often], n, (h, sums[0]))
         v, w, left = v[often], w[often], left[often]
         s = _shard(v, w, common, n)
-        order = np.argsort(s, kind="stable")
+        order = np.lexsort((w, s))
         ends = np.searchsorted(s[order], np.arange(n + 1))
         for k in np.flatnonzero(np.diff(ends)).tolist():
             at = order[ends[k] : ends[k + 1]]
-            rows.append((_COMMON - k, _arrays(v[at], w[at], _small(left[at]), steps=())))
+            rows.append((_COMMON - k, _arrays(w[at], _small(np.searchsorted(ranked, v[at])), _small(left[at]))))
         del u, v, w, c, key, first, context, pair, left, sums, order, s
         _release()
         return pd.DataFrame(rows, columns=["shard", "blob"])
@@ -287,7 +376,8 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
     def common_pairs(keys, frame):
         import pandas as pd
 
-        v, w, left = (np.concatenate(x) for x in zip(*map(_unarrays, frame["blob"]), strict=True))
+        w, v, left = (np.concatenate(x) for x in zip(*map(_unarrays, frame["blob"]), strict=True))
+        v = ranked[v]
         pair, first, (left,) = _summed(_pair(v, w), left.astype(np.int64))
         return pd.DataFrame(_finish_pairs(uri, f"often-{_COMMON - keys[0]:06d}", v[first], w[first], pair, left, n), columns=["shard", "blob"])
 
@@ -304,17 +394,16 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
             which, *arrays = _unarrays(blob)
             kinds[int(which[0])].append(arrays)
         columns = []
-        for held, width in zip(kinds, (1, 1, 4), strict=True):
+        for held, width in zip(kinds, (2, 1, 4), strict=True):
             h = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.uint64)
             sums = [np.concatenate([x[k].astype(np.int64) for x in held]) if held else np.zeros(0, np.int64) for k in range(1, width + 1)]
             h, _, sums = _summed(h, *sums)
             columns.append((h, sums))
         h = np.unique(np.concatenate([x[0] for x in columns]))
         full = np.zeros((6, len(h)), np.int64)  # count; left contexts; as a context: sum, and followers with 1, 2, 3+ left contexts
-        at = 0
-        for have, sums in columns:
-            full[at : at + len(sums), np.searchsorted(h, have)] = sums
-            at += len(sums)
+        for places, (have, sums) in zip(((0, 1), (1,), (2, 3, 4, 5)), columns, strict=True):
+            for place, x in zip(places, sums, strict=True):
+                full[place, np.searchsorted(h, have)] += x
         name = f"words-{keys[0]:06d}"
         _put_counts(uri, name, h, full, np.uint16)
         left = full[1]
@@ -379,6 +468,21 @@ class MappedModel:
             out[:, ask] = c
         return out
 
+    def packed(self, kind: str, shard: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+        """The counts of each key, 0 if it is not there."""
+        out = np.zeros((rows, len(key)), np.int64)
+        order = np.lexsort((key, shard))
+        cut = np.searchsorted(shard[order], np.arange(self.m["shards"] + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            ask = order[cut[k] : cut[k + 1]]
+            name = f"{kind}-{k:06d}"
+            file = Packed(self._file(name, np.uint8), lambda name=name: _unarrays(self._file(name + "-o", np.uint8).tobytes()))
+            at = file.find(key[ask])
+            ok = at >= 0
+            if ok.any():
+                out[:, ask[ok]] = file.counts(at[ok], rows)
+        return out
+
     def log10(self, w: np.ndarray):
         """Of each token of texts that stand one after the other (each ends with END): (known, base, model) with log10 probabilities."""
         m, common, n = self.m, self.m["common"], self.m["shards"]
@@ -401,11 +505,11 @@ class MappedModel:
         shard = _shard(v, w, common, n)
         lefts = np.zeros(len(w), np.int64)
         for kind, here in (("two", ~often), ("often", often)):
-            lefts[here] = self.counts(kind, shard[here], pair[here], 1, np.uint8)[0]
+            lefts[here] = self.packed(kind, shard[here], pair[here], 1)[0]
         two = level(lefts, after, m["d2"], one)
         context, shard = _pair(u, v), _shard(v, u, common, n)
-        c = self.counts("three", shard, _pair(context, w), 1, np.uint8)[0]
-        three = level(c, self.counts("context", shard, context, 4, np.uint16), m["d3"], two)
+        c = self.packed("three", shard, _pair(context, w), 1)[0]
+        three = level(c, self.packed("context", shard, context, 4), m["d3"], two)
         return count > 0, base, np.log10(three)
 
 
