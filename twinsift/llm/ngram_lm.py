@@ -33,10 +33,12 @@ END, BEGIN = np.uint64(0x9D5F3A1E00000001), np.uint64(0x9D5F3A1E00000002)
 #: Tokens whose trigrams a task counts before it sends them on.
 HELD = 4_000_000
 #: Tokens that a scoring task looks up at once, but for a longer text.
-SLICE = 200_000
+SLICE = 400_000
 #: Words that are dealt over all shards: the commonest of a sample, the first rows of each partition, so many in all
 #: but one a partition at least (for balance only; counts are exact).
 SAMPLE_ROWS, COMMON_WORDS = 2000, 256
+#: Words of that sample, the commonest, that tasks name by two bytes when they send trigrams on.
+KNOWN_WORDS = 1 << 16
 #: Tokens whose hashes are computed at once.
 PIECE = 1 << 19
 #: Different columns of counts that four bits name in a file; the others are listed.
@@ -287,9 +289,11 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
 
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     sample = chosen.select("text", place.alias("place")).where(F.col("place") < max(1, SAMPLE_ROWS // max(1, partitions))).select("text")
-    top = sample.mapInArrow(words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON_WORDS).collect()
-    common = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    top = sample.mapInArrow(words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(max(COMMON_WORDS, KNOWN_WORDS)).collect()
+    top = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    common = top[:COMMON_WORDS]
     ranked = np.sort(common)
+    shared = spark.sparkContext.broadcast(np.sort(top[:KNOWN_WORDS]))
 
     def count(batches):
         import pyarrow as pa
@@ -301,6 +305,8 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
             held.clear()
             names = np.append(np.unique(w), BEGIN)
             names.sort()
+            familiar = np.isin(names, shared.value)
+            moved = np.where(familiar, np.cumsum(familiar), familiar.sum() + np.cumsum(~familiar)).astype(np.uint32) - np.uint32(1)  # the known words come first
             first, c = _distinct(w)
             s = np.empty(len(first), np.uint32 if n > 65535 else np.uint16)
             places = [np.empty(len(first), np.uint32) for _ in range(3)]
@@ -309,8 +315,10 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
                 u, v = _before(w, at)
                 s[a : a + PIECE] = _shard(v, u, common, n)
                 for place, x in zip(places, (u, v, w[at]), strict=True):
-                    place[a : a + PIECE] = np.searchsorted(names, x)
-            del w, first
+                    place[a : a + PIECE] = moved[np.searchsorted(names, x)]
+            names = np.concatenate([names[familiar], names[~familiar]])
+            n_known = int(familiar.sum())
+            del w, first, moved, familiar
             order = np.argsort(s, kind="stable")
             ends = np.searchsorted(s[order], np.arange(n + 1))
             u, v, w = (x[order] for x in places)
@@ -326,7 +334,8 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
                 place = np.cumsum(used) - 1
                 lead, sizes = np.unique(v[a:b], return_counts=True)
                 shards_.append(k)
-                blobs.append(_arrays(names[used], *(_small(x) for x in (place[lead], sizes, place[u[a:b][by]], place[w[a:b][by]], c[a:b][by])), steps=(0, 1, 3)))
+                ranks = np.searchsorted(shared.value, names[:n_known][used[:n_known]])
+                blobs.append(_arrays(names[n_known:][used[n_known:]], *(_small(x) for x in (ranks, place[lead], sizes, place[u[a:b][by]], place[w[a:b][by]], c[a:b][by])), steps=(0, 1, 2, 4)))
             return pa.RecordBatch.from_arrays([pa.array(shards_, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
@@ -344,7 +353,8 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, prune:
 
         parts: list[list[np.ndarray]] = [[], [], [], []]
         for blob in frame["blob"]:
-            names, lead, sizes, u, w, c = _unarrays(blob)
+            names, ranks, lead, sizes, u, w, c = _unarrays(blob)
+            names = np.concatenate([shared.value[ranks], names])
             for held, x in zip(parts, (names[u], np.repeat(names[lead], sizes), names[w], c.astype(np.int64)), strict=True):
                 held.append(x)
         u, v, w, c = (np.concatenate(x) for x in parts)
@@ -471,12 +481,13 @@ class MappedModel:
     def packed(self, kind: str, shard: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
         """The counts of each key, 0 if it is not there."""
         out = np.zeros((rows, len(key)), np.int64)
-        order = np.lexsort((key, shard))
-        cut = np.searchsorted(shard[order], np.arange(self.m["shards"] + 1))
+        shard = _small(shard)
+        order = np.argsort(shard, kind="stable")
+        cut = np.cumsum(np.r_[0, np.bincount(shard, minlength=self.m["shards"])])
         for k in np.flatnonzero(np.diff(cut)):
             ask = order[cut[k] : cut[k + 1]]
             name = f"{kind}-{k:06d}"
-            file = Packed(self._file(name, np.uint8), lambda name=name: _unarrays(self._file(name + "-o", np.uint8).tobytes()))
+            file = Packed(np.asarray(self._file(name, np.uint8)), lambda name=name: _unarrays(self._file(name + "-o", np.uint8).tobytes()))
             at = file.find(key[ask])
             ok = at >= 0
             if ok.any():
