@@ -204,17 +204,23 @@ class Packed:
         bucket = (keys >> np.uint64(48)).astype(np.int64)
         b = np.cumsum(self.sizes, dtype=np.int64)[bucket]
         a = b - self.sizes[bucket]
-        end, want = b.copy(), keys & np.uint64((1 << 48) - 1)
-        for _ in range(int((b - a).max(initial=0)).bit_length()):  # until a == b: the first that is not smaller
-            mid = np.minimum((a + b) >> 1, self.n - 1)
-            less = (self._key(mid) < want) & (a < b)
+        end, high, low = b, (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)
+        last = self.n - 1
+        for _ in range(int((b - a).max(initial=0)).bit_length()):  # until a == b: the first whose four bytes are not smaller
+            mid = (a + b) >> 1
+            less = (self.high[np.minimum(mid, last)] < high) & (a < b)
             a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
-        found = a < end
-        found[found] = self._key(a[found]) == want[found]
-        return np.where(found, a, -1)
-
-    def _key(self, at: np.ndarray) -> np.ndarray:
-        return self.high[at].astype(np.uint64) << np.uint64(16) | self.low[at]
+        out = np.full(len(keys), -1)
+        ask = np.flatnonzero(a < end)
+        while len(ask):  # one round, but for keys that share the four bytes
+            at = a[ask]
+            same = self.high[at] == high[ask]
+            hit = same & (self.low[at] == low[ask])
+            out[ask[hit]] = at[hit]
+            ask = ask[same & ~hit]
+            a[ask] += 1
+            ask = ask[a[ask] < end[ask]]
+        return out
 
     def counts(self, at: np.ndarray, rows: int) -> np.ndarray:
         """The column of each place."""
@@ -482,7 +488,8 @@ class MappedModel:
         """The counts of each key, 0 if it is not there."""
         out = np.zeros((rows, len(key)), np.int64)
         shard = _small(shard)
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")  # neighbours in a file are asked together
+        order = order[np.argsort(shard[order], kind="stable")]
         cut = np.cumsum(np.r_[0, np.bincount(shard, minlength=self.m["shards"])])
         for k in np.flatnonzero(np.diff(cut)):
             ask = order[cut[k] : cut[k + 1]]
@@ -519,8 +526,10 @@ class MappedModel:
             lefts[here] = self.packed(kind, shard[here], pair[here], 1)[0]
         two = level(lefts, after, m["d2"], one)
         context, shard = _pair(u, v), _shard(v, u, common, n)
-        c = self.packed("three", shard, _pair(context, w), 1)[0]
-        three = level(c, self.packed("context", shard, context, 4), m["d3"], two)
+        sums = self.packed("context", shard, context, 4)
+        c, seen = np.zeros(len(w), np.int64), sums[0] > 0
+        c[seen] = self.packed("three", shard[seen], _pair(context[seen], w[seen]), 1)[0]
+        three = level(c, sums, m["d3"], two)
         return count > 0, base, np.log10(three)
 
 
