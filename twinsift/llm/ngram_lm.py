@@ -33,7 +33,7 @@ END, BEGIN = np.uint64(0x9D5F3A1E00000001), np.uint64(0x9D5F3A1E00000002)
 #: Tokens whose trigrams a task counts before it sends them on.
 HELD = 4_000_000
 #: Tokens that a scoring task looks up at once, but for a longer text.
-SLICE = 400_000
+SLICE = 1_200_000
 #: Words that are dealt over all shards: the commonest of a sample, the first rows of each partition, so many in all
 #: but one a partition at least (for balance only; counts are exact).
 SAMPLE_ROWS, COMMON_WORDS = 2000, 256
