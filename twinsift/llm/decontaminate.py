@@ -12,13 +12,14 @@ other than key and text are kept (or, in a report, not read), so their names do
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, bytes_of, drop_written, written
+from .common import FOLD, bytes_of, drop_written, frugal, slices, written
 
 WINDOW = 10
 #: Bytes of windows in one automaton (about 60 bytes of memory each); more are dealt over several automata.
@@ -41,7 +42,7 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
                     items.append(item)
             yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.binary()), pa.array(items, pa.string())], names=["pattern", "item"])
 
-    return benchmark.select(F.col(key).cast("string"), text).mapInArrow(run, "pattern binary, item string").distinct()
+    return benchmark.select(F.col(key).cast("string"), text).mapInArrow(frugal(run), "pattern binary, item string").distinct()
 
 
 class WindowAutomaton:
@@ -183,11 +184,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             import pyarrow as pa
 
             automaton = WindowAutomaton(shared.value)
-            for batch in batches:
+            for batch in itertools.chain.from_iterable(slices(b, at) for b in batches):
                 stays = [not automaton.scan(raw.translate(FOLD).split())[0] for raw in bytes_of(batch.column(at))]
                 yield batch.filter(pa.array(stays, pa.bool_()))
 
-        return rows.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(frugal(run), docs.schema)
 
     out = docs
     for shard in range(shards):

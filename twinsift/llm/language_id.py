@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, bytes_of, fresh_names, written
+from .common import FOLD, bytes_of, fresh_names, frugal, slices, written
 
 FEATURES = 1 << 13
 ROWS_PER_LANGUAGE = 400
@@ -101,7 +101,7 @@ def train_language_codes(docs: DataFrame, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
 
     # about rows_per_language rows of 16 KB for each language
-    rows = drawn.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, x binary").orderBy("lang", "x").collect()
+    rows = drawn.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(frugal(run), "lang string, x binary").orderBy("lang", "x").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, FEATURES)
     return LanguageCodes(languages, x, np.array([languages.index(r["lang"]) for r in rows], np.int64))
 
@@ -152,13 +152,15 @@ def keep_identified(docs: DataFrame, model: LanguageCodes, key: str = "doc_id",
         for batch in batches:
             real = batch.column(batch.num_columns - 1).to_pylist()
             stays = [False] * len(real)
-            raws = bytes_of(batch.column(at))
             found = [k for k, r in enumerate(real) if r and m.languages]
             for a in range(0, len(found), 256):
                 some = found[a : a + 256]
-                names, _, _ = m.decode(np.array([features(raws[k]) for k in some]))
+                names, _, _ = m.decode(np.array([features(raw) for raw in bytes_of(batch.column(at).take(pa.array(some)))]))
                 for k, language in zip(some, names, strict=True):
                     stays[k] = language != "und"
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)], schema=pa.schema([f for f in batch.schema][:-1])).filter(pa.array(stays, pa.bool_()))
+            rest, row = pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)], schema=pa.schema([f for f in batch.schema][:-1])), 0
+            for part in slices(rest, at):
+                yield part.filter(pa.array(stays[row : row + part.num_rows], pa.bool_()))
+                row += part.num_rows
 
-    return letters.mapInArrow(run, docs.schema)
+    return letters.mapInArrow(frugal(run), docs.schema)

@@ -25,12 +25,13 @@ matter. Keys of any type that can be sorted are kept as they are.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Keys, Words, bytes_of, drop_written, fresh_names, grams, join_hot, mixed, written
+from .common import FOLD, Keys, Words, bytes_of, drop_written, fresh_names, frugal, grams, join_hot, mixed, slices, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,7 +39,8 @@ TREES, DEPTH, TARGET_RECALL = 20, 8, 0.9995
 BLOCK_DOCS = 1024
 #: Pairs of two blocks up to which each is intersected by itself.
 FEW_PAIRS = 64
-_COLUMNS = 4096
+#: Shingles that a matrix of a block's documents has as columns at a time.
+_COLUMNS = 1024
 
 
 def prefix_depth(similarity: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
@@ -152,7 +154,7 @@ def _signed(chosen: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             his, los, sizes, depths, paths = [], [], [], [], []
             for words in Words([raw.translate(FOLD) for raw in bytes_of(batch.column(1))]).by_text():
                 s = shingle_set(words)
@@ -167,7 +169,7 @@ def _signed(chosen: DataFrame, threshold: float) -> DataFrame:
                 names=["id", "row", "text_hash", "hi", "lo", "size", "depth", "paths"],
             )
 
-    return chosen.mapInArrow(run, "id bigint, row bigint, text_hash bigint, hi bigint, lo bigint, size bigint, depth int, paths binary")
+    return chosen.mapInArrow(frugal(run), "id bigint, row bigint, text_hash bigint, hi bigint, lo bigint, size bigint, depth int, paths binary")
 
 
 def _paths(column) -> np.ndarray:
@@ -312,7 +314,7 @@ def _shingle_sets(met: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, 0) for b in batches):
             keep, out = [], []
             expected = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             texts = Words([raw.translate(FOLD) for raw in bytes_of(batch.column(0))]).by_text()
@@ -322,7 +324,7 @@ def _shingle_sets(met: DataFrame) -> DataFrame:
                 out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["node", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(run, "node bigint, shingles binary")
+    return met.mapInArrow(frugal(run), "node bigint, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, text_hash: str | None = None) -> DataFrame:
@@ -343,7 +345,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = signed.where("depth > 0").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     nodes = written(nodes.select(F.col("row").alias("node"), "paths", "depth", "size"), "near-nodes")
     least = prefix_depth(threshold)
-    tries = written(nodes.select("node", "paths").mapInArrow(_rooted(least), "root bigint, tree int, node bigint"), "near-tries")
+    tries = written(nodes.select("node", "paths").mapInArrow(frugal(_rooted(least)), "root bigint, tree int, node bigint"), "near-tries")
     groups = written(tries.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-groups")
     met = join_hot(tries, groups, "root", tries.count()).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_DOCS)))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
@@ -357,7 +359,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     # documents with a node in common tries grow with the input, so they are never broadcast, however few they are
     compared = by_blocks(dealt.join(nodes.hint("merge"), "node"), "depth", "size", "paths")
-    needed = written(compared.mapInArrow(_with_new_pairs(threshold), "root bigint, i bigint, j bigint, node bigint, block bigint, tree int"), "near-needed")
+    needed = written(compared.mapInArrow(frugal(_with_new_pairs(threshold)), "root bigint, i bigint, j bigint, node bigint, block bigint, tree int"), "near-needed")
     for x in (tries, groups):
         drop_written(x)
     chosen = written(needed.select("node").distinct().join(classes, "node").select("node", "rep", "text_hash", "hi", "lo"), "near-chosen")
@@ -365,7 +367,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     sets = _shingle_sets(texts.join(chosen.hint("merge"), same).select("text", "node", "hi", "lo"))
     sets = written(sets if signed.groupBy("id").count().where("count > 1").isEmpty() else sets.dropDuplicates(["node"]), "near-sets")
     held = needed.join(nodes.select("node", "depth", "paths").hint("merge"), "node").join(sets.hint("merge"), "node")
-    verified = written(by_blocks(held, "depth", "paths", "shingles").mapInArrow(_verified(threshold), "node bigint, links bigint, joined bigint"), "near-verified")
+    verified = written(by_blocks(held, "depth", "paths", "shingles").mapInArrow(frugal(_verified(threshold)), "node bigint, links bigint, joined bigint"), "near-verified")
     for x in (needed, chosen, sets, nodes):
         drop_written(x)
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -13,13 +13,14 @@ null. An empty table gives no rows. Columns other than key and text are not read
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, frugal, slices, written
 from .tokens import CACHE_PIECES, encoder
 
 CAPACITY = 2048
@@ -88,7 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
         enc = encoder(tokenizer, cache)
         key_type = None
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, 1) for b in batches):
             key_type = batch.column(0).type
             keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for doc, ids in zip(keys, enc.encode(texts), strict=True):
@@ -101,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             yield pack()
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, bin bigint, offset bigint, fill bigint"
-    return written(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema), "packing-pieces")
+    return written(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), schema), "packing-pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, capacity: int = CAPACITY, cache: int = CACHE_PIECES) -> DataFrame:
