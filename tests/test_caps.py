@@ -93,3 +93,46 @@ def test_multiset_pairs_match_brute_force(spark, threshold, cap):
     frame = spark.createDataFrame(list(units.items()), "id bigint, tokens array<string>")
     assert {(r.i, r.j) for r in similarity.multiset_pairs(frame, threshold, cap).collect()} == want
     assert {(r.i, r.j) for r in similarity.alignment_pairs(frame, threshold, cap).collect()} == lcs
+
+
+@pytest.mark.parametrize("align", [False, True])
+def test_bags_over_many_blocks_are_met_once(spark, monkeypatch, align):
+    """Equal lengths over several blocks, and nothing is written for each candidate."""
+    from twinsift.operators import bagjoin
+
+    for name, least in (("BLOCK", 300), ("CHUNK", 200), ("AGAINST", 2)):
+        monkeypatch.setattr(bagjoin, name, least)
+    names, whole = [], bagjoin.stored
+    monkeypatch.setattr(bagjoin, "stored", lambda df, name, **o: names.append(name) or whole(df, name, **o))
+    units = {k: t if k % 3 else [*t[::-1], *t] for k, t in mixed(60).items()}
+    want = {}
+    for i, j in itertools.combinations(units, 2):
+        a, b = units[i], units[j]
+        low, n = (Counter(a) & Counter(b)).total(), len(a) + len(b)
+        sim = 2.0 * similarity.lcs_length(a, b) / n if align else low / (n - low)
+        if sim >= 0.6 and max(len(a), len(b)) <= 2.5 * min(len(a), len(b)):
+            want[i, j] = sim
+    frame = spark.createDataFrame(list(units.items()), "id bigint, tokens array<string>").repartition(3)
+    got = (similarity.alignment_pairs if align else similarity.multiset_pairs)(frame, 0.6).collect()
+    assert {(r.i, r.j): r.sim for r in got} == want and len(got) == len(want) > 20
+    assert not {"pair-candidates", "pair-bound", "pair-texts"} & set(names)
+
+
+def test_meetings_in_small_parts(monkeypatch):
+    import numpy as np
+
+    from twinsift.operators import bagjoin
+    from twinsift.operators.setjoin import _packed
+
+    monkeypatch.setattr(bagjoin, "MEETINGS", 3)
+    monkeypatch.setattr(bagjoin, "COMPARED", 2)
+    units = [sorted({(k * 7 + p * p * (1 + k % 3)) % 23 + 1 for p in range(8 + k % 5)}) for k in range(40)]
+    size = np.array([len(x) for x in units])
+    steps = np.concatenate([np.diff(x, prepend=0) for x in units])
+    rows = {"t": [_packed(size)], "n": [_packed(size)], "items": [_packed(steps)], "w": [size.tolist()], "known": [None], "free": [None], "tokens": [None]}
+    block = bagjoin.Block(rows, None, 0.6, None)
+    got = [(int(i), int(j), int(c)) for part in bagjoin._met(block, block, 0.6, 0.6) for i, j, c in zip(*part, strict=True)]
+    reach = lambda a, b, c: c / (len(a) + len(b) - c) >= 0.6
+    want = {(i, j, len({*units[i]} & {*units[j]})) for i, j in itertools.combinations(range(40), 2)}
+    want = {x for x in want if reach(units[x[0]], units[x[1]], x[2])}
+    assert {x for x in got if reach(units[x[0]], units[x[1]], x[2])} == want and len(got) == len({*got}) and len(want) > 20
