@@ -135,4 +135,12 @@ def test_meetings_in_small_parts(monkeypatch):
     reach = lambda a, b, c: c / (len(a) + len(b) - c) >= 0.6
     want = {(i, j, len({*units[i]} & {*units[j]})) for i, j in itertools.combinations(range(40), 2)}
     want = {x for x in want if reach(units[x[0]], units[x[1]], x[2])}
-    assert {x for x in got if reach(units[x[0]], units[x[1]], x[2])} == want and len(got) == len({*got}) and len(want) > 20
+    assert {x for x in got if reach(units[x[0]], units[x[1]], x[2])} == want and len(got) == len({*got}) and len(want) > 10
+
+
+@pytest.mark.parametrize("name", ["multiset_jaccard_pairs", "tfidf_multiset_pairs"])
+def test_pairs_that_share_only_frequent_tokens_are_kept(spark, tmp_path, name):
+    """Every token stands in more than a quarter of the units; a cap dropped all pairs."""
+    texts = [f"a b c d e f g h i j k l m n o {'p' if k % 2 else 'q'}" for k in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.queries()[name](spark, str(tmp_path)).count() == 40 * 39 // 2
